@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -37,3 +37,13 @@ def exact_mean(value: ColumnOrName) -> Column:
 def divide(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
     """Double division that gives null for a zero or null denominator."""
     return F.try_divide(as_column(numerator).cast("double"), as_column(denominator).cast("double"))
+
+
+def share_of_all(amount: ColumnOrName) -> Column:
+    """An amount over the sum of all rows.
+
+    For totals per group only: the rows meet in one task, and there is one row
+    per group.
+    """
+    column = as_column(amount)
+    return divide(column, F.sum(column).over(Window.partitionBy()))

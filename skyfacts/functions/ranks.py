@@ -1,9 +1,9 @@
 """Exact order statistics without sorting a group in one task.
 
 Spark's own percentile keeps every distinct value of a group in one task.
-Here each pass counts the group's values in equal-width buckets, which merge
-map-side to a bounded histogram, and keeps only the bucket that holds the
-wanted rank. What is left after the passes is ranked exactly.
+Here each pass counts a group's values in buckets, which merge map-side to a
+bounded histogram, and keeps only the bucket that holds the wanted rank. What
+is left after the passes is ranked exactly.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfacts.session import settle
+
 RankRule = Callable[[Column], Column]
 
 BUCKETS = 4096
+BUCKETS_PER_E = 1024
 BROADCAST_GROUPS = 50_000
 
 
@@ -37,86 +40,89 @@ def values_at_ranks(
     keys: Sequence[str],
     value: str,
     rules: Mapping[str, RankRule],
-    passes: int = 2,
+    refinements: int = 1,
     most_groups: int | None = None,
 ) -> DataFrame:
     """One row per group with the value at each named rank of its non-null values.
 
-    The bounds of the groups are broadcast only when there are provably few
-    groups: by the caller's bound, or else by a count. They are joined by
-    shuffle otherwise.
+    The frame is read once per refinement and twice besides. The brackets found
+    by a pass are broadcast to the next only when there are provably few
+    groups: by the caller's bound, or else by a count of the settled brackets.
+    They are joined by shuffle otherwise.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    groups = rows.groupBy(*keys).agg(
-        F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n")
-    )
+    rows = df.select(*keys, F.col(value).alias("_v")).withColumn("_b", _first_bucket(F.col("_v")))
+    targets = _first_brackets(rows, keys, rules)
     if not keys:
         small = True
     elif most_groups is not None:
         small = most_groups <= BROADCAST_GROUPS
     else:
-        small = _few_rows(rows.select(*keys).distinct(), BROADCAST_GROUPS)
-
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("name"), rule(F.col("n")).alias("rank")) for name, rule in rules.items()]
-    )
-    bracket = F.struct("lo", "hi", F.lit(0).cast("bigint").alias("base"), wanted.alias("wanted"))
-    targets = groups.where("n > 0").select(*keys, F.array(bracket).alias("_brackets"))
-
-    for _ in range(passes):
-        targets = _narrow(rows, targets, keys, small)
-
-    inside = _in_bracket(rows, targets, keys, small)
-    group = [*keys, "_b"]
-    frequency = inside.groupBy(*group, "_v").agg(F.count("*").alias("n"))
-    upto = _running(frequency, group, "_v")
-    found = upto.select(*keys, "_v", "n", "upto", F.explode("_b.wanted").alias("w")).where(
-        (F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("n"))
-    )
+        targets = settle(targets)
+        small = targets.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+    group = [*keys, "_b", "_t"]
+    for _ in range(refinements):
+        low, high = (F.col(f"_t.{end}").cast("double") for end in ("lo", "hi"))
+        bucket = F.width_bucket(F.col("_v").cast("double"), low, high, F.lit(BUCKETS))
+        inside = _in_bracket(rows, targets, keys, small)
+        histogram = _histogram(inside.withColumn("_s", F.coalesce(bucket, F.lit(0))), [*group, "_s"])
+        targets = _brackets(histogram, group, "_s", keys)
+
+    exact = _in_bracket(rows, targets, keys, small).groupBy(*group, "_v").agg(F.count("*").alias("n"))
+    found = _running(exact, group, "_v").select(*keys, "_v", F.explode(_ranks_here()).alias("w"))
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("w.name") == name, F.col("_v"))).alias(name) for name in rules]
     )
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Shrink every bracket to the buckets that hold its wanted ranks."""
-    inside = _in_bracket(rows, targets, keys, small)
-    bucket = F.width_bucket(
-        F.col("_v").cast("double"), F.col("_b.lo").cast("double"), F.col("_b.hi").cast("double"), F.lit(BUCKETS)
-    )
-    group = [*keys, "_b"]
-    histogram = inside.groupBy(*group, F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(
-        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    )
-    upto = _running(histogram, group, "bucket")
+def _first_bucket(value: Column) -> Column:
+    """Buckets of equal ratio, which need no known range and never run against the order; null for null."""
+    number = value.cast("double")
+    scaled = F.floor(F.signum(number) * F.log1p(F.abs(number)) * F.lit(BUCKETS_PER_E))
+    return F.when(F.isnan(number), F.lit(2**63 - 1)).otherwise(scaled)
+
+
+def _first_brackets(rows: DataFrame, keys: list[str], rules: Mapping[str, RankRule]) -> DataFrame:
+    histogram = _histogram(rows, [*keys, "_b"]).where(F.col("_b").isNotNull())
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    wanted = [F.struct(F.lit(name).alias("name"), rule(total).alias("rank")) for name, rule in rules.items()]
+    whole = F.struct(F.lit(0).cast("bigint").alias("base"), F.array(*wanted).alias("wanted"))
+    return _brackets(histogram.withColumn("_t", whole), keys, "_b", keys)
+
+
+def _histogram(rows: DataFrame, group: list[str]) -> DataFrame:
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+
+
+def _brackets(histogram: DataFrame, group: list[str], order: str, keys: list[str]) -> DataFrame:
+    """The buckets that hold a wanted rank, each with its ranks and the count before it."""
     before = (F.col("upto") - F.col("n")).alias("base")
-    hits = F.filter("_b.wanted", lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n")))
-    brackets = upto.select(*keys, F.struct("lo", "hi", before, hits.alias("wanted")).alias("_b")).where(
-        F.size("_b.wanted") > 0
+    bracket = F.struct("lo", "hi", before, _ranks_here().alias("wanted")).alias("_t")
+    return _running(histogram, group, order).select(*keys, "_b", bracket).where(F.size("_t.wanted") > 0)
+
+
+def _ranks_here() -> Column:
+    """The wanted ranks that fall in the row's run of n values ending at upto."""
+    return F.filter(
+        "_t.wanted", lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n"))
     )
-    return brackets.groupBy(*keys).agg(F.collect_list("_b").alias("_brackets"))
 
 
 def _in_bracket(rows: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Rows that lie in one of their group's brackets (at most one per wanted rank)."""
-    if keys:
-        lookup = targets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_brackets")
-        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        joined = rows.join(F.broadcast(lookup) if small else lookup, same).drop(*[f"_k_{k}" for k in keys])
-    else:
-        joined = rows.withColumn("_brackets", targets.select("_brackets").scalar())
-    return joined.select(*keys, "_v", F.explode("_brackets").alias("_b")).where(
-        F.col("_v").between(F.col("_b.lo"), F.col("_b.hi"))
-    )
+    """Rows that lie in one of their group's brackets.
+
+    The first bucket is part of the join key, so even a shuffled join splits a
+    group that holds most of the rows.
+    """
+    names = [*keys, "_b"]
+    lookup = targets.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_t")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_k__b")]
+    between = F.col("_v").between(F.col("_t.lo"), F.col("_t.hi"))
+    return rows.join(F.broadcast(lookup) if small else lookup, [*same, between]).select(*names, "_v", "_t")
 
 
 def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Count of the group's values up to and including this row."""
+    """Adds the count of the group's values up to and including each row."""
     window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("upto", F.sum("n").over(window) + F.col("_b.base"))
-
-
-def _few_rows(df: DataFrame, most: int) -> bool:
-    """Whether the frame is proven to hold at most this many rows."""
-    return df.limit(most + 1).count() <= most
+    return counts.withColumn("upto", F.sum("n").over(window) + F.col("_t.base"))

@@ -62,15 +62,26 @@ def by_weekday(df: DataFrame) -> DataFrame:
 
 
 def by_flight(df: DataFrame) -> DataFrame:
-    """Occupancy per flight number; route_id is the smallest of its routes."""
+    """Occupancy per flight number; route_id is the smallest of its routes.
+
+    Flights are first added up per route: a minimum of text cannot be hash
+    aggregated, so it is taken over the few routes of a flight, not all rows.
+    """
+    per_route = df.groupBy("flight_id", "route_id").agg(
+        F.sum("capacity_pct").alias("total"),
+        F.count("capacity_pct").alias("n"),
+        F.max("capacity_pct").alias("high"),
+        F.min("capacity_pct").alias("low"),
+        F.count("departure").alias("seen"),
+    )
     return (
-        df.groupBy("flight_id")
+        per_route.groupBy("flight_id")
         .agg(
-            F.avg("capacity_pct").alias("avg_capacity"),
-            F.max("capacity_pct").alias("max_capacity"),
-            F.min("capacity_pct").alias("min_capacity"),
+            divide(F.sum("total"), F.sum("n")).alias("avg_capacity"),
+            F.max("high").alias("max_capacity"),
+            F.min("low").alias("min_capacity"),
             F.min("route_id").alias("route_id"),
-            F.count("departure").alias("observations"),
+            F.sum("seen").alias("observations"),
         )
         .orderBy(F.desc_nulls_first("avg_capacity"), "flight_id")
     )
@@ -103,9 +114,17 @@ def top_routes(routes: DataFrame, top: int = 20) -> DataFrame:
     return routes.orderBy(F.desc_nulls_first("avg_capacity"), "route_id").limit(top)
 
 
-def occupancy_thresholds(flights: DataFrame, df: DataFrame) -> DataFrame:
-    """Flights that are full, flights that are half empty, and routes seen."""
-    return flights.agg(
-        F.count_if(F.col("avg_capacity") > FULL).alias("flights_over_90"),
-        F.count_if(F.col("avg_capacity") < HALF_EMPTY).alias("flights_under_50"),
-    ).withColumn("routes", df.agg(n_unique("route_id")).scalar())
+def occupancy_thresholds(df: DataFrame) -> DataFrame:
+    """Flight numbers that are full on average, those half empty, and routes seen.
+
+    Both groupings come from one pass over the data.
+    """
+    both = df.groupingSets([[F.col("flight_id")], [F.col("route_id")]], "flight_id", "route_id").agg(
+        F.avg("capacity_pct").alias("mean"), F.grouping("flight_id").alias("other")
+    )
+    is_flight = F.col("other") == 0
+    return both.agg(
+        F.count_if(is_flight & (F.col("mean") > FULL)).alias("flights_over_90"),
+        F.count_if(is_flight & (F.col("mean") < HALF_EMPTY)).alias("flights_under_50"),
+        F.count_if(~is_flight).alias("routes"),
+    )

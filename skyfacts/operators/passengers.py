@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfacts.functions.aggregates import divide
+from skyfacts.functions.aggregates import divide, share_of_all
 
 # Lower ends of the age bands.
 AGE_BANDS = (0, 18, 30, 45, 60)
@@ -26,8 +26,9 @@ def passenger_sales(tickets: DataFrame, passengers: DataFrame) -> DataFrame:
     return sold.join(who, "passenger_id")
 
 
-def _segment(sales: DataFrame, *keys: str | Column) -> DataFrame:
+def _segment(sales: DataFrame, *keys: str | Column, share: bool = False) -> DataFrame:
     """Passengers, tickets, revenue and the means per passenger for each segment."""
+    part = {"share": share_of_all("amount")} if share else {}
     return (
         sales.groupBy(*keys)
         .agg(
@@ -40,6 +41,7 @@ def _segment(sales: DataFrame, *keys: str | Column) -> DataFrame:
                 "revenue": F.col("amount").cast("double"),
                 "tickets_per_passenger": divide("tickets", "passengers"),
                 "spend_per_passenger": divide("amount", "passengers"),
+                **part,
             }
         )
         .drop("amount")
@@ -52,9 +54,7 @@ def by_country(sales: DataFrame) -> DataFrame:
 
 def by_vip(sales: DataFrame) -> DataFrame:
     """Holders of a VIP card against all others, with their share of revenue."""
-    totals = _segment(sales, "vipcard")
-    whole = sales.agg(F.sum("amount").cast("double")).scalar()
-    return totals.withColumn("share", F.try_divide(F.col("revenue"), whole)).orderBy("vipcard")
+    return _segment(sales, "vipcard", share=True).orderBy("vipcard")
 
 
 def class_by_vip(sales: DataFrame) -> DataFrame:

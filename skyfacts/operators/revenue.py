@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfacts.functions.aggregates import sum0
+from skyfacts.functions.aggregates import share_of_all, sum0
 from skyfacts.functions.columns import normalize_names, title_case, where_equal
 from skyfacts.functions.dates import DEFAULT_END, DEFAULT_START, DateLike, lenient_date, ordered_range
 
@@ -91,9 +91,8 @@ def revenue_by_country(df: DataFrame, start: DateLike = DEFAULT_START, end: Date
 
 
 def with_share(totals: DataFrame) -> DataFrame:
-    """Each row's share of the total revenue."""
-    whole = totals.agg(F.sum("total_revenue")).scalar()
-    return totals.withColumn("share", F.try_divide(F.col("total_revenue"), whole))
+    """Totals per group with each one's share of all revenue."""
+    return totals.withColumn("share", share_of_all("total_revenue"))
 
 
 def with_class_name(df: DataFrame) -> DataFrame:

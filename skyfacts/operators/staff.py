@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyfacts.functions.aggregates import divide, exact_mean, n_unique, sum0
 from skyfacts.functions.dates import in_years
 from skyfacts.functions.ranks import nearest, values_at_ranks
+from skyfacts.session import settle
 
 # Fixed value: days in a year, as the yearly staff figures count it.
 DAYS_PER_YEAR = 365.5
@@ -137,16 +138,18 @@ def monthly_hours(assignments: DataFrame) -> DataFrame:
 def staff_utilisation(assignments: DataFrame) -> DataFrame:
     """Flights, hours and routes per employee, with the P90 and P10 of hours as flags.
 
-    The thresholds are exact nearest-rank values over all employees. They come
-    back as a one-row subquery, so no join and no single-task sort is needed.
+    The thresholds are exact nearest-rank values over all employees. The
+    assignments are read once: the table of employees is settled, and the
+    passes that find the thresholds read that.
     """
-    base = assignments.groupBy("empno", "firstnme", "lastname", "department").agg(
-        F.count("*").alias("total_flights"),
-        _hours().alias("total_hours"),
-        n_unique("route_code").alias("unique_routes"),
+    base = settle(
+        assignments.groupBy("empno", "firstnme", "lastname", "department").agg(
+            F.count("*").alias("total_flights"),
+            _hours().alias("total_hours"),
+            n_unique("route_code").alias("unique_routes"),
+        )
     )
-    hours = assignments.groupBy("empno", "firstnme", "lastname", "department").agg(_hours().alias("total_hours"))
-    limits = values_at_ranks(hours, [], "total_hours", {"p90": nearest(HIGH_SHARE), "p10": nearest(LOW_SHARE)})
+    limits = values_at_ranks(base, [], "total_hours", {"p90": nearest(HIGH_SHARE), "p10": nearest(LOW_SHARE)})
     return (
         base.withColumn("_limits", limits.select(F.struct("p90", "p10")).scalar())
         .withColumns(

@@ -32,6 +32,16 @@ def padded(key: str) -> Column:
     return F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0"))
 
 
+def flight_id() -> Column:
+    digit = F.col("l_partkey") % 10
+    parts = [F.col("l_suppkey"), F.lit("-"), F.col("l_linenumber"), F.lit("-"), digit]
+    return F.concat(F.lit("F"), *[part.cast("string") for part in parts])
+
+
+def route_code() -> Column:
+    return F.concat(F.lit("R"), padded("l_suppkey"), F.lit("-"), F.col("l_linenumber").cast("string"))
+
+
 def shifted(start: str, days: Column) -> Column:
     return F.date_add(F.lit(start).cast("date"), days.cast("int"))
 
@@ -118,43 +128,50 @@ class AirlineViews:
     @cached_property
     def passenger_tickets(self) -> DataFrame:
         """Tickets with the passenger, who is looked up by order."""
-        booked = self.source("lineitem").join(
-            self.source("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left"
-        )
-        return self._tickets(booked, [F.col("o_custkey").alias("passenger_id")])
+        return self._tickets(self._booked, [F.col("o_custkey").alias("passenger_id")])
+
+    @cached_property
+    def _booked(self) -> DataFrame:
+        lines, orders = self.source("lineitem"), self.source("orders")
+        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
     @staticmethod
     def _tickets(lines: DataFrame, extra: list[Column]) -> DataFrame:
         price = F.col("l_extendedprice").cast("decimal(12,2)")
         tax, discount = F.col("l_tax").cast("decimal(4,2)"), F.col("l_discount").cast("decimal(4,2)")
-        leg = F.col("l_linenumber").cast("string")
+        # At most 99.99, so that the product has 17 digits and fits a long.
+        gross = (F.lit(1).cast("decimal(1,0)") + tax + discount).cast("decimal(4,2)")
         cabin = F.col("l_returnflag")
         return lines.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ticket_id"),
             *extra,
-            F.concat(
-                F.lit("F"), F.col("l_suppkey").cast("string"), F.lit("-"), leg, F.lit("-"),
-                (F.col("l_partkey") % 10).cast("string"),
-            ).alias("flight_id"),
-            F.concat(F.lit("R"), padded("l_suppkey"), F.lit("-"), leg).alias("route_code"),
+            flight_id().alias("flight_id"),
+            route_code().alias("route_code"),
             F.col("l_shipdate").alias("departure"),
             F.when(cabin == "N", "E").when(cabin == "A", "P").when(cabin == "R", "B").alias("class"),
-            F.concat(F.lit("P"), padded("l_partkey")).alias("airplane"),
+            F.col("l_partkey").alias("plane_number"),
             F.col("l_linenumber").cast("smallint").alias("leg"),
             F.col("l_quantity").cast("int").alias("seats"),
             price.alias("price"),
             (price * tax).alias("airport_tax"),
             (price * discount).alias("local_tax"),
-            (price * (F.lit(1).cast("decimal(1,0)") + tax + discount)).alias("total_amount"),
+            (price * gross).alias("total_amount"),
         )
 
     @cached_property
     def flights(self) -> DataFrame:
-        return self.tickets.groupBy("flight_id", "route_code", "departure").agg(
-            F.min("airplane").alias("airplane"),
+        """One row per flight; the lowest aircraft number flies it.
+
+        The number is aggregated, not the text key: a minimum of text would
+        force a sort of all tickets before the partial aggregation.
+        """
+        flown = self.tickets.groupBy("flight_id", "route_code", "departure").agg(
+            F.min("plane_number").alias("plane_number"),
             F.max("price").alias("price_economy"),
             F.min("leg").alias("flight_leg"),
         )
+        plane = F.concat(F.lit("P"), padded("plane_number"))
+        return flown.withColumn("airplane", plane).drop("plane_number")
 
     @cached_property
     def staff(self) -> DataFrame:
@@ -174,18 +191,19 @@ class AirlineViews:
 
     @cached_property
     def flight_crew(self) -> DataFrame:
+        """Distinct on the short numeric keys; the text keys are made after that shuffle."""
         total = self.source("customer").agg(F.count("*")).scalar()
-        need = F.col("seats") % 6
-        member = (F.col("passenger_id") + F.col("i") * 37) % total
+        need = F.col("l_quantity").cast("int") % 6
+        numbers = ["l_suppkey", "l_linenumber", "l_partkey", "l_shipdate"]
+        member = (F.col("o_custkey") + F.col("i") * 37) % total
         return (
-            self.passenger_tickets.where(need > 0)
-            .select(
-                "passenger_id", "flight_id", "route_code", "departure",
-                F.explode(F.sequence(F.lit(0), need - 1)).alias("i"),
-            )
-            .select(member.alias("empno"), "flight_id", "route_code", "departure")
+            self._booked.where(need > 0)
+            .withColumn("l_partkey", F.col("l_partkey") % 10)
+            .select("o_custkey", *numbers, F.explode(F.sequence(F.lit(0), need - 1)).alias("i"))
+            .select(member.alias("empno"), *numbers)
             .where(F.col("empno") % 10 != 9)
             .distinct()
+            .select("empno", flight_id().alias("flight_id"), route_code().alias("route_code"), F.col("l_shipdate").alias("departure"))
         )
 
     @cached_property

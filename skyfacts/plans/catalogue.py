@@ -634,15 +634,14 @@ def _(v):
                (select count(distinct route_id) from occupancy) as routes from ({_BY_FLIGHT})""",
 )
 def _(v):
-    df = _occupancy(v)
-    return capacity.occupancy_thresholds(capacity.by_flight(df), df)
+    return capacity.occupancy_thresholds(_occupancy(v))
 
 
 # --- generic summaries and profiles --------------------------------------------------
 
 _PROFILED = {
     "ticket_id": "bigint", "flight_id": "string", "route_code": "string", "departure": "timestamp_ntz",
-    "class": "string", "seats": "int", "price": "decimal(12,2)", "total_amount": "decimal(19,4)",
+    "class": "string", "seats": "int", "price": "decimal(12,2)", "total_amount": "decimal(17,4)",
 }
 
 

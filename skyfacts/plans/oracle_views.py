@@ -41,19 +41,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                cast(p_partkey * 97 % 5000000 as integer) as total_flight_distance
         from part"""),
     "tickets": ((), f"""
-        select ticket_id, passenger_id, flight_id, route_code, departure, class, airplane, leg, seats, p as price,
+        select ticket_id, passenger_id, flight_id, route_code, departure, class, plane_number, leg, seats, p as price,
                p * t as airport_tax, p * d as local_tax, p * (1 + t + d) as total_amount
         from (select l_orderkey * 10 + l_linenumber as ticket_id, o_custkey as passenger_id,
                      'F' || l_suppkey || '-' || l_linenumber || '-' || (l_partkey % 10) as flight_id,
                      'R' || {_z('l_suppkey')} || '-' || l_linenumber as route_code, l_shipdate as departure,
                      case l_returnflag when 'N' then 'E' when 'A' then 'P' when 'R' then 'B' end as class,
-                     'P' || {_z('l_partkey')} as airplane, cast(l_linenumber as smallint) as leg,
+                     l_partkey as plane_number, cast(l_linenumber as smallint) as leg,
                      cast(l_quantity as integer) as seats, cast(l_extendedprice as decimal(12, 2)) as p,
                      cast(l_tax as decimal(4, 2)) as t, cast(l_discount as decimal(4, 2)) as d
               from lineitem left join orders on o_orderkey = l_orderkey)"""),
-    "flights": (("tickets",), """
-        select flight_id, route_code, departure, min(airplane) as airplane, max(price) as price_economy,
-               min(leg) as flight_leg
+    "flights": (("tickets",), f"""
+        select flight_id, route_code, departure, 'P' || {_z('min(plane_number)')} as airplane,
+               max(price) as price_economy, min(leg) as flight_leg
         from tickets group by flight_id, route_code, departure"""),
     "staff": ((), """
         select c_custkey as empno, c_name as firstnme, 'L' || (c_custkey % 50) as lastname,

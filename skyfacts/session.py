@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Run-time SQL settings. Skewed joins are split by adaptive execution; the
 # force flag keeps the split even where a later aggregation could have reused
@@ -40,3 +42,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept as a reliable checkpoint.
+
+    The checkpoint lies in the folder that the session names, so it outlives
+    any executor. Only a local session without such a folder gets its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="skyfacts-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
