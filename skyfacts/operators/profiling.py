@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyfacts.functions.columns import numeric_columns
 from skyfacts.functions.dates import add_date_parts
 from skyfacts.functions.ranks import above, below, nearest, values_at_ranks
+from skyfacts.session import settle
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -79,11 +80,12 @@ def top_categories(df: DataFrame, category: str, top: int = 10) -> DataFrame:
 def numeric_summary(df: DataFrame, category: str, value: str, top: int = 10) -> DataFrame:
     """Rows, mean, median, minimum and maximum per category, highest mean first.
 
-    The top categories by mean are found first; the exact median is then looked
-    up for those alone. The broadcast frames hold one row per top category.
+    The top categories by mean are found and settled first; the exact median is
+    then looked up for those alone. The broadcast frames hold one row per top
+    category.
     """
     number = F.col(value)
-    leading = (
+    leading = settle(
         df.groupBy(category)
         .agg(
             F.count("*").alias("n_rows"),

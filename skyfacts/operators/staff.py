@@ -149,7 +149,9 @@ def staff_utilisation(assignments: DataFrame) -> DataFrame:
             n_unique("route_code").alias("unique_routes"),
         )
     )
-    limits = values_at_ranks(base, [], "total_hours", {"p90": nearest(HIGH_SHARE), "p10": nearest(LOW_SHARE)})
+    # Hours are whole minutes, so one first bucket holds few different values: no refinement.
+    rules = {"p90": nearest(HIGH_SHARE), "p10": nearest(LOW_SHARE)}
+    limits = values_at_ranks(base, [], "total_hours", rules, refinements=0)
     return (
         base.withColumn("_limits", limits.select(F.struct("p90", "p10")).scalar())
         .withColumns(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from conftest import SF_DIR
@@ -66,3 +67,39 @@ def test_tickets_are_added_up_before_the_join(views, spark, no_automatic_broadca
 
 def test_text_minimum_is_not_sorted_over_tickets(views):
     assert "SortAggregate" not in plan_of(views.flights)
+
+
+def test_hot_route_is_split(spark, no_automatic_broadcast):
+    """A route with a third of all assignments does not become one task of the join."""
+    small = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    route = F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("R"), F.col("id") % 500))
+    crew = spark.range(0, 60_000, 1, 8).select(
+        F.col("id").cast("int").alias("empno"),
+        F.concat(F.lit("F"), F.col("id") % 900).alias("flight_id"),
+        route.alias("route_code"),
+        F.lit("2021-01-01 00:00:00").cast("timestamp_ntz").alias("departure"),
+    )
+    legs = spark.range(501).select(
+        F.when(F.col("id") == 500, "HOT").otherwise(F.concat(F.lit("R"), F.col("id"))).alias("route_code"),
+        F.lit(100).alias("distance"), F.lit(60).cast("smallint").alias("flight_minutes"),
+    )
+    people = spark.range(60_000).select(
+        F.col("id").cast("int").alias("empno"), F.lit("a").alias("firstnme"), F.lit("b").alias("lastname"),
+        F.lit("X").alias("department"),
+    )
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        made = facts.staff_assignments(crew, legs, people)
+        assert len(made.collect()) == 60_000
+        assert "skew=true" in plan_of(made)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
