@@ -50,11 +50,11 @@ class AirlineViews:
     """Airline tables derived from one folder of test tables; built when first used."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
+        self.spark = spark
         self._folder = folder
 
     def source(self, name: str) -> DataFrame:
-        return self._spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
 
     @cached_property
     def _places(self) -> DataFrame:

@@ -213,7 +213,7 @@ def _(v):
 
 
 @register(
-    "revenue_total_default_range", "A-14 F-04", "revenue",
+    "revenue_total_default_range", "A-14 F-04 F-14", "revenue",
     """select coalesce(cast(sum(revenue) as double), 0) as total_revenue from revenue
        where year_month between date '2020-01-01' and date '2025-12-31'""",
 )
@@ -763,6 +763,39 @@ def _(v):
     return tables.read_table(v.tickets, ["TICKET_ID", "ROUTE_CODE", "SEATS"], where="class = 'B' and seats > 40")
 
 
+@register(
+    "sql_with_parameters", "S-01 S-02 S-03 T-09", "tickets",
+    """select class, count(*) as n_rows, cast(sum(total_amount) as double) as revenue from tickets
+       where seats >= 10 and departure >= timestamp '1998-01-01' group by class order by class""",
+)
+def _(v):
+    text = """select class as ` CLASS `, count(*) as n_rows, cast(sum(total_amount) as double) as Revenue
+              from {tickets} where seats >= :seats and departure >= cast(:since as timestamp_ntz)
+              group by class order by class"""
+    return tables.read_sql(v.spark, text, {"seats": 10, "since": "1998-01-01"}, tickets=v.tickets)
+
+
+_LEG_NAMES = {"route_code": " ROUTE_CODE", "origin": "Origin ", "leg_number": "Leg Number", "distance": "DISTANCE"}
+
+
+def _unkempt(v: AirlineViews) -> DataFrame:
+    """Routes under the kind of names a warehouse returns."""
+    return v.routes.select(*[F.col(name).alias(heading) for name, heading in _LEG_NAMES.items()])
+
+
+@register(
+    "normalized_names", "P-01 X-03", "routes",
+    'select route_code, origin, leg_number as "leg number", distance from routes',
+)
+def _(v):
+    return cols.normalize_names(_unkempt(v))
+
+
+@register("standardized_names", "P-02 X-03", "routes", "select route_code, origin, leg_number, distance from routes")
+def _(v):
+    return cols.standardize_names(_unkempt(v))
+
+
 @register(
     "filter_equal", "F-11", "airplanes",
     "select aircraft_registration, model, seats_economy from airplanes where model = 'Brand#7'",

@@ -41,9 +41,14 @@ def quoted(identifier: str) -> str:
     return "`" + identifier.replace("`", "``") + "`"
 
 
-def read_sql(spark: SparkSession, text: str, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Spark SQL with bound parameters and normalised column names."""
-    return normalize_names(spark.sql(text, args=dict(params) if params else None))
+def read_sql(
+    spark: SparkSession, text: str, params: Mapping[str, object] | None = None, **frames: DataFrame
+) -> DataFrame:
+    """Spark SQL with bound parameters and normalised column names.
+
+    Parameters are written :name; a frame given by name is written {name}.
+    """
+    return normalize_names(spark.sql(text, args=dict(params) if params else None, **frames))
 
 
 def preview(source: DataFrame, rows: int = 10) -> DataFrame:
