@@ -62,14 +62,18 @@ def values_at_ranks(
         small = targets.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
     group = [*keys, "_b", "_t"]
-    for _ in range(refinements):
+    low, high = _edge(F.col("_b").cast("double")), _edge(F.col("_b").cast("double") + 1)
+    for done in range(refinements):
+        bucket = F.coalesce(F.width_bucket(F.col("_v").cast("double"), low, high, F.lit(BUCKETS)), F.lit(0))
+        inside = _in_bracket(rows, targets, keys, small, narrowed=done > 0).withColumn("_s", bucket)
+        histogram = inside.groupBy(*group, "_s").agg(
+            F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
+        )
+        targets = _brackets(histogram, group, "_s", keys, ["lo", "hi"])
         low, high = (F.col(f"_t.{end}").cast("double") for end in ("lo", "hi"))
-        bucket = F.width_bucket(F.col("_v").cast("double"), low, high, F.lit(BUCKETS))
-        inside = _in_bracket(rows, targets, keys, small)
-        histogram = _histogram(inside.withColumn("_s", F.coalesce(bucket, F.lit(0))), [*group, "_s"])
-        targets = _brackets(histogram, group, "_s", keys)
 
-    exact = _in_bracket(rows, targets, keys, small).groupBy(*group, "_v").agg(F.count("*").alias("n"))
+    inside = _in_bracket(rows, targets, keys, small, narrowed=refinements > 0)
+    exact = inside.groupBy(*group, "_v").agg(F.count("*").alias("n"))
     found = _running(exact, group, "_v").select(*keys, "_v", F.explode(_ranks_here()).alias("w"))
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("w.name") == name, F.col("_v"))).alias(name) for name in rules]
@@ -83,22 +87,23 @@ def _first_bucket(value: Column) -> Column:
     return F.when(F.isnan(number), F.lit(2**63 - 1)).otherwise(scaled)
 
 
+def _edge(bucket: Column) -> Column:
+    """About the lowest value of a first bucket; only the split of the bucket depends on it."""
+    return F.signum(bucket) * F.expm1(F.abs(bucket) / F.lit(BUCKETS_PER_E))
+
+
 def _first_brackets(rows: DataFrame, keys: list[str], rules: Mapping[str, RankRule]) -> DataFrame:
-    histogram = _histogram(rows, [*keys, "_b"]).where(F.col("_b").isNotNull())
+    histogram = rows.groupBy(*keys, "_b").agg(F.count("*").alias("n")).where(F.col("_b").isNotNull())
     total = F.sum("n").over(Window.partitionBy(*keys))
     wanted = [F.struct(F.lit(name).alias("name"), rule(total).alias("rank")) for name, rule in rules.items()]
     whole = F.struct(F.lit(0).cast("bigint").alias("base"), F.array(*wanted).alias("wanted"))
-    return _brackets(histogram.withColumn("_t", whole), keys, "_b", keys)
-
+    return _brackets(histogram.withColumn("_t", whole), keys, "_b", keys, [])
 
-def _histogram(rows: DataFrame, group: list[str]) -> DataFrame:
-    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
 
-
-def _brackets(histogram: DataFrame, group: list[str], order: str, keys: list[str]) -> DataFrame:
+def _brackets(histogram: DataFrame, group: list[str], order: str, keys: list[str], bounds: list[str]) -> DataFrame:
     """The buckets that hold a wanted rank, each with its ranks and the count before it."""
     before = (F.col("upto") - F.col("n")).alias("base")
-    bracket = F.struct("lo", "hi", before, _ranks_here().alias("wanted")).alias("_t")
+    bracket = F.struct(*bounds, before, _ranks_here().alias("wanted")).alias("_t")
     return _running(histogram, group, order).select(*keys, "_b", bracket).where(F.size("_t.wanted") > 0)
 
 
@@ -109,17 +114,21 @@ def _ranks_here() -> Column:
     )
 
 
-def _in_bracket(rows: DataFrame, targets: DataFrame, keys: list[str], small: bool) -> DataFrame:
+def _in_bracket(
+    rows: DataFrame, targets: DataFrame, keys: list[str], small: bool, narrowed: bool
+) -> DataFrame:
     """Rows that lie in one of their group's brackets.
 
     The first bucket is part of the join key, so even a shuffled join splits a
-    group that holds most of the rows.
+    group that holds most of the rows. The conditions are written so that no
+    null test on the computed bucket is pushed below it and evaluated twice.
     """
     names = [*keys, "_b"]
     lookup = targets.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_t")
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_k__b")]
-    between = F.col("_v").between(F.col("_t.lo"), F.col("_t.hi"))
-    return rows.join(F.broadcast(lookup) if small else lookup, [*same, between]).select(*names, "_v", "_t")
+    matches = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]
+    if narrowed:
+        matches.append(F.coalesce(F.col("_v").between(F.col("_t.lo"), F.col("_t.hi")), F.lit(False)))
+    return rows.join(F.broadcast(lookup) if small else lookup, matches).select(*names, "_v", "_t")
 
 
 def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:

@@ -317,7 +317,8 @@ def _(v):
 
 
 def _assignments(v: AirlineViews) -> DataFrame:
-    return staff.with_period(facts.staff_assignments(v.flight_crew, v.routes, v.staff))
+    """The crew view is distinct, so its rows need no second grouping."""
+    return staff.with_period(facts.staff_assignments(v.flight_crew, v.routes, v.staff, unique_crew=True))
 
 
 def _usage(v: AirlineViews) -> DataFrame:

@@ -95,14 +95,21 @@ def staff_counts(staff: DataFrame) -> DataFrame:
     return staff.groupBy("department").agg(F.count_distinct("empno").alias("staff_count"))
 
 
-def staff_assignments(flight_crew: DataFrame, routes: DataFrame, staff: DataFrame) -> DataFrame:
+def staff_assignments(
+    flight_crew: DataFrame, routes: DataFrame, staff: DataFrame, unique_crew: bool = False
+) -> DataFrame:
     """Distance and minutes per crew assignment; null where the route has none.
 
-    Grouping by the assignment alone, before the joins, keeps the shuffle on a
-    key without hot values; routes and staff add one row each by their keys.
+    Repeated crew rows are added up by the assignment alone, before the joins;
+    routes and staff add one row each by their keys. Crew rows that are known
+    to be unique (their declared key, see quality.duplicate_keys) need no
+    grouping, which saves a shuffle of the whole table.
     """
     assignment = ["empno", *KEY]
-    flown = flight_crew.groupBy(*assignment).agg(F.count("*").alias("times"))
+    if unique_crew:
+        flown = flight_crew.select(*assignment).withColumn("times", F.lit(1))
+    else:
+        flown = flight_crew.groupBy(*assignment).agg(F.count("*").alias("times"))
     legs = routes.select("route_code", "distance", "flight_minutes")
     people = staff.select("empno", "firstnme", "lastname", "department")
     return (
