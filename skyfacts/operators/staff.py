@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyfacts.functions.aggregates import divide, exact_mean, n_unique, sum0
 from skyfacts.functions.dates import in_years
 from skyfacts.functions.ranks import nearest, values_at_ranks
+from skyfacts.schemas import YEAR_FOLDER
 from skyfacts.session import settle
 
 # Fixed value: days in a year, as the yearly staff figures count it.
@@ -26,10 +27,14 @@ def with_period(assignments: DataFrame) -> DataFrame:
 
 
 def departing_in(df: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Rows that depart in the closed range of years; no bounds keep all."""
+    """Rows that depart in the closed range of years; no bounds keep all.
+
+    A prepared dataset also carries the year as its folder, which is pruned.
+    """
     if first is None or last is None:
         return df
-    return df.where(in_years("departure", first, last))
+    kept = df.where(in_years("departure", first, last))
+    return kept.where(F.col(YEAR_FOLDER).between(first, last)) if YEAR_FOLDER in df.columns else kept
 
 
 def _hours(minutes: str = "flight_minutes"):

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyfacts.functions.dates import DateLike, ordered_range
+from skyfacts.operators.revenue import normalize_revenue
 from skyfacts.plans import facts
-from skyfacts.schemas import conform
+from skyfacts.schemas import YEAR_FOLDER, conform
 from skyfacts.sources.prepared import materialize
 from skyfacts.sources.sinks import write_by_year, write_parquet
 from skyfacts.sources.tables import count_rows, read_parquet
@@ -17,9 +20,9 @@ RAW_TABLES = ("airports", "routes", "airplanes", "flights", "flight_crew", "staf
 # Datasets at flight or assignment grain, with the column that dates them.
 DATED = {
     "revenue": ("year", None),
-    "q2_staff_assignments": ("departure_year", "departure"),
-    "q3_staff_usage": ("departure_year", "departure"),
-    "capacity": ("departure_year", "departure"),
+    "q2_staff_assignments": (YEAR_FOLDER, "departure"),
+    "q3_staff_usage": (YEAR_FOLDER, "departure"),
+    "capacity": (YEAR_FOLDER, "departure"),
 }
 
 Tables = Mapping[str, DataFrame]
@@ -62,6 +65,15 @@ def prepared_or_built(spark: SparkSession, raw: Tables, root: str, name: str, se
     return materialize(spark, f"{root}/{name}", datasets(raw, seats)[name])
 
 
+def read_revenue(spark: SparkSession, root: str, start: DateLike = None, end: DateLike = None) -> DataFrame:
+    """The prepared revenue, normalised; with both bounds, only their years' folders are read."""
+    stored = read_parquet(spark, f"{root}/revenue")
+    if start is not None and end is not None:
+        low, high = ordered_range(start, end)
+        stored = stored.where(F.col("year").between(low.year, high.year))
+    return normalize_revenue(stored)
+
+
 def report_counts(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
     """Row count of each prepared dataset."""
     return {name: count_rows(read_parquet(spark, f"{root}/{name}")) for name in names}

@@ -41,6 +41,9 @@ class Table:
 
 FLIGHT_KEY = ("flight_id", "route_code", "departure")
 
+# Name of the year column that prepared datasets are partitioned by.
+YEAR_FOLDER = "departure_year"
+
 # Departures outside these years are not accepted.
 FIRST_YEAR, LAST_YEAR = 2010, 2026
 

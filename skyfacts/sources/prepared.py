@@ -33,6 +33,10 @@ RAW_EXTRACTS: dict[str, tuple[Sequence[str] | None, str | None]] = {
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
+class UnfinishedDataset(RuntimeError):
+    """A dataset whose write did not finish, or that was written elsewhere."""
+
+
 class MissingInputs(FileNotFoundError):
     """Prepared datasets that a report needs are not there."""
 
@@ -48,9 +52,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether the write of the dataset was committed as a whole."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the dataset; build and write it first when it is not there."""
-    if not exists(spark, path):
+    """Read the dataset; build and write it first when it is not there.
+
+    Data without the mark of a finished write is neither trusted nor replaced.
+    """
+    if not finished(spark, path):
+        if exists(spark, path):
+            raise UnfinishedDataset(f"{path} holds data but no _SUCCESS mark; check and remove it")
         write_parquet(build(), path)
     return spark.read.parquet(path)
 

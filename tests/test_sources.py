@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 import pytest
@@ -60,6 +61,16 @@ def test_year_folders_are_pruned(spark, ready):
     one_year = spark.read.parquet(f"{ready}/q2_staff_assignments").where("departure_year = 1998")
     plan = one_year._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(departure_year" in plan
+    usage = staff.departing_in(spark.read.parquet(f"{ready}/q3_staff_usage"), 1997, 1999)
+    assert "(departure_year#" in usage._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+
+
+def test_revenue_reads_only_the_years_of_the_range(spark, ready, rows):
+    span = ("1997-03-15", "1998-02-10")
+    cut, whole = prepare.read_revenue(spark, ready, *span), prepare.read_revenue(spark, ready)
+    assert rows(revenue.monthly_revenue(cut, *span)) == rows(revenue.monthly_revenue(whole, *span))
+    assert cut.agg(F.min("year"), F.max("year")).first() == (1997, 1998)
+    assert "PartitionFilters: [isnotnull(year" in cut._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sums_agree_across_reports(views):
@@ -95,6 +106,14 @@ def test_materialize_builds_once(spark, tmp_path):
     assert built == [1]
 
 
+def test_unfinished_data_is_not_replaced(spark, tmp_path):
+    sinks.write_parquet(spark.range(3), f"{tmp_path}/x")
+    os.remove(f"{tmp_path}/x/_SUCCESS")
+    with pytest.raises(prepared.UnfinishedDataset):
+        prepared.materialize(spark, f"{tmp_path}/x", lambda: spark.range(5))
+    assert spark.read.parquet(f"{tmp_path}/x").count() == 3
+
+
 def test_missing_inputs_are_named(spark, tmp_path):
     sinks.write_parquet(spark.range(1), f"{tmp_path}/have")
     with pytest.raises(prepared.MissingInputs, match="lack"):
