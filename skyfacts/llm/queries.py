@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import decontaminate, packing, simhash, token_blocks, url_rules
+from skyfacts.llm import decontaminate, langid, packing, quality_fm, simhash, token_blocks, url_rules
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,12 +52,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
     "op3_token_blocks": op3_token_blocks,
     "op4_packing": op4_packing,
     "op5_url_rules": op5_url_rules,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality_fm": op9_quality_fm,
 }
 
 SQL: dict[str, str] = {}

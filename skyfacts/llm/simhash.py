@@ -250,6 +250,20 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """(id, mark, fp), settled: the mark tells rows of equal id and different text apart."""
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    return settle(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), fingerprints(text, words, seed).alias("fp")), "fingerprints")
+
+
+def _rooted(marked: DataFrame, low: Column, radius: int) -> DataFrame:
+    """(fp, low, root) for each distinct fingerprint, with an aggregate `low` over its rows."""
+    nodes = marked.groupBy("fp").agg(low.alias("low"))
+    roots = components(near_links(nodes.select("fp"), radius))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -259,19 +273,47 @@ def near_duplicates(
     radius: int = RADIUS,
     seed: int = SEED,
 ) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of `docs`.
+    """(id, fp, component_id) for every row of `docs`.
 
     Null, empty and wordless texts have fingerprint zero and link like any
     other. `component_id` is the smallest id reachable over links, null if all
     ids there are null. Repeated rows and ids are kept. Only the id and text
     columns are read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    made = fingerprints(F.col(text_col).cast("string"), words, seed)
-    marked = settle(docs.select(F.col(id_col).alias("id"), made.alias("fp")), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(near_links(nodes.select("fp"), radius))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    marked = _marked(docs, id_col, text_col, words, seed)
+    grouped = _rooted(marked, F.min("id"), radius)
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lows, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    radius: int = RADIUS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The rows of `docs`, all columns, of which one per group of near duplicates stays.
+
+    That is the row of smallest id, a null id last, and of smallest text hash
+    among those; of rows equal in both, any one. Columns of any name are kept
+    as they are. `docs` is read twice: give a stored table.
+    """
+    marked = _marked(docs, id_col, text_col, words, seed)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark"))
+    grouped = _rooted(marked, first, radius)
+    stay = grouped.groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.mark")
+    copies = marked.groupBy("id", "mark").agg(F.count("*").alias("copies"))
+    same = F.col("stay.id").eqNullSafe(F.col("copies.id")) & (F.col("stay.mark") == F.col("copies.mark"))
+    stay = stay.alias("stay").join(copies.alias("copies"), same).select("stay.id", "stay.mark", "copies")
+    names = {"skyfacts_id": F.col(id_col), "skyfacts_mark": F.xxhash64(F.col(text_col).cast("string"))}
+    same = F.col("skyfacts_id").eqNullSafe(F.col("id_")) & (F.col("skyfacts_mark") == F.col("mark_"))
+    held = docs.withColumns(names)
+    kept = [
+        held.join(stay.where(which).select(F.col("id").alias("id_"), F.col("mark").alias("mark_")), same, "left_semi")
+        for which in ("copies = 1", "copies > 1")
+    ]
+    return kept[0].unionByName(kept[1].dropDuplicates(list(names))).select(*docs.columns)
