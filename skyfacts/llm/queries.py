@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import decontaminate, langid, packing, quality_fm, simhash, token_blocks, url_rules
+from skyfacts.llm import decontaminate, langid, packing, quality_fm, simhash, token_blocks, url_rules, warc
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -42,6 +42,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "benchmark"), F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
@@ -62,8 +66,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_blocks": op3_token_blocks,
     "op4_packing": op4_packing,
     "op5_url_rules": op5_url_rules,
+    "op6_warc": op6_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_fm": op9_quality_fm,
 }
 
-SQL: dict[str, str] = {}
+HOST = r"regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')"
+PATH = r"regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+
+SQL: dict[str, str] = {
+    "op5_url_rules": f"""
+        with parts as (
+            select page_id, translate(coalesce({HOST}, ''), '{url_rules.UPPER}', '{url_rules.LOWER}') host, coalesce({PATH}, '') path from pages
+        ), rules(h, p, v) as (values {", ".join(map(str, URL_RULES))}),
+        fits as (
+            select page_id, arg_max(h || p, length(h || p) * 10000 + length(h)) rule, arg_max(v, length(h || p) * 10000 + length(h)) v
+            from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id
+        )
+        select page_id, host, path, rule, coalesce(v, 'allow') verdict from parts left join fits using (page_id)""",
+    "op6_warc": f"""
+        with rows as (select page_id, coalesce(html, '') html from pages),
+        told as (select page_id, octet_length(encode(html)) n, sha256(html) digest from rows),
+        firsts as (select digest, min(page_id) first_id from told group by digest)
+        select page_id, n::bigint payload_bytes, digest payload_digest,
+            case when n >= {warc.LEAST_SHARED} and page_id <> first_id then 'revisit' else 'response' end record_type,
+            case when n >= {warc.LEAST_SHARED} and page_id <> first_id then first_id end refers_to
+        from told join firsts using (digest)""",
+    "op8_decontaminate": """
+        with docs as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
+        ), items as (
+            select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark
+        ), windows as (
+            select distinct item_id, least(len(w), 10) n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') win
+            from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) i from items where len(w) > 0)
+        ), places as (
+            select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') win
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from docs, (select distinct n from windows) where len(w) >= n)
+        ), found as (select doc_id, item_id, i, n from places join windows using (n, win)),
+        hit as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(i, i + n)) k from found) group by doc_id),
+        named as (
+            select doc_id, count(*) n_items, string_agg(name, ',' order by name) names
+            from (select distinct doc_id, item_id::varchar name from found) group by doc_id
+        )
+        select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+            sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+        from docs left join hit using (doc_id) left join named using (doc_id)""",
+}
