@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import decontaminate, langid, packing, quality_fm, simhash, token_blocks, url_rules, warc
+from skyfacts.llm import decontaminate, langid, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -60,6 +60,10 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_fm": op9_quality_fm,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 HOST = r"regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')"
