@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import decontaminate, langid, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc
+from skyfacts.llm import attention_lm, decontaminate, langid, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -46,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "benchmark"), F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_url_rules": op5_url_rules,
     "op6_warc": op6_warc,
+    "op7_attention_lm": op7_attention_lm,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_fm": op9_quality_fm,
     "op10_nn_descent": op10_nn_descent,
