@@ -32,12 +32,19 @@ def occupancy(capacity: DataFrame) -> DataFrame:
 
 
 def occupancy_kpis(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.avg("capacity_pct").alias("avg_capacity"),
-        F.max("capacity_pct").alias("max_capacity"),
-        n_unique("flight_id").alias("flights"),
-        n_unique("route_id").alias("routes"),
+    """Mean and highest share, flight numbers and routes; null is one more of either.
+
+    Rows are added up per flight number and route, and from there per flight
+    number: two distinct counts in one aggregate would copy every row.
+    """
+    pairs = df.groupBy("flight_id", "route_id").agg(
+        F.sum("capacity_pct").alias("total"), F.count("capacity_pct").alias("n"), F.max("capacity_pct").alias("high")
     )
+    numbers = pairs.groupBy("flight_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("high").alias("high"))
+    routes = pairs.select("route_id").distinct().agg(F.count("*")).scalar()
+    return numbers.agg(
+        divide(F.sum("total"), F.sum("n")).alias("avg_capacity"), F.max("high").alias("max_capacity"), F.count("*").alias("flights")
+    ).withColumn("routes", routes)
 
 
 def _over(df: DataFrame, period: str) -> DataFrame:

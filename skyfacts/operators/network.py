@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfacts.functions.aggregates import divide, sum0
-from skyfacts.functions.ranks import above, below, values_at_ranks
+from skyfacts.functions.ranks import above, below, counted_values_at_ranks
 
 
 def route_revenue(tickets: DataFrame, routes: DataFrame) -> DataFrame:
@@ -93,6 +93,10 @@ def origin_minutes(flights: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
+#: Column of the destinations that are not listed.
+OTHER = "other"
+
+
 def city_pairs(revenue: DataFrame) -> DataFrame:
     """Revenue for each pair of origin and destination city (the matrix in long form)."""
     return (
@@ -103,8 +107,10 @@ def city_pairs(revenue: DataFrame) -> DataFrame:
 
 
 def place_matrix(revenue: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Revenue with one column per listed value of the destination place."""
-    return revenue.groupBy(row).pivot(column, list(values)).agg(F.sum("revenue").cast("double")).orderBy(row)
+    """Revenue with one column per listed value of the destination place, and one for all others."""
+    where = F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(F.lit(OTHER))
+    named = revenue.withColumn(column, where)
+    return named.groupBy(row).pivot(column, [*values, OTHER]).agg(F.sum("revenue").cast("double")).orderBy(row)
 
 
 def fleet_use(flights: DataFrame, routes: DataFrame, airplanes: DataFrame, as_of: date) -> DataFrame:
@@ -178,11 +184,12 @@ def ticket_value_spread(tickets: DataFrame) -> DataFrame:
     """
     quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     rules = {f"{name}_{side}": rule(q) for name, q in quarters.items() for side, rule in (("lo", below), ("hi", above))}
-    ranks = values_at_ranks(tickets, ["class"], "total_amount", rules)
-    ends = tickets.groupBy("class").agg(
-        F.min("total_amount").cast("double").alias("min_value"),
-        F.max("total_amount").cast("double").alias("max_value"),
-        F.count("total_amount").alias("n"),
+    counts = tickets.groupBy("class", F.col("total_amount").alias("_v")).agg(F.count("*").alias("_n"))
+    ranks = counted_values_at_ranks(counts, ["class"], rules)
+    ends = counts.groupBy("class").agg(
+        F.min("_v").cast("double").alias("min_value"),
+        F.max("_v").cast("double").alias("max_value"),
+        sum0(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("n"),
     )
 
     def between(name: str, q: float):

@@ -18,12 +18,15 @@ AGE_BANDS = (0, 18, 30, 45, 60)
 
 
 def passenger_sales(tickets: DataFrame, passengers: DataFrame) -> DataFrame:
-    """Tickets and amount per passenger and class, with the passenger's segment columns."""
+    """Tickets and amount per passenger and class, with the passenger's segment columns.
+
+    Tickets of an unknown passenger stay, in a segment of their own with null columns.
+    """
     sold = tickets.groupBy("passenger_id", "class").agg(
         F.count("*").alias("tickets"), F.sum("total_amount").alias("amount")
     )
     who = passengers.select(F.col("id").alias("passenger_id"), "country", "vipcard", "birth_date")
-    return sold.join(who, "passenger_id")
+    return sold.join(who, "passenger_id", "left")
 
 
 def _segment(sales: DataFrame, *keys: str | Column, share: bool = False) -> DataFrame:

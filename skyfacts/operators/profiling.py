@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfacts.functions.columns import numeric_columns
 from skyfacts.functions.dates import add_date_parts
-from skyfacts.functions.ranks import above, below, nearest, values_at_ranks
-from skyfacts.session import settle
+from skyfacts.functions.ranks import above, below, counted_values_at_ranks, nearest
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -42,24 +42,36 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Count, nulls, mean, deviation, extremes and quartiles of each numeric column."""
-    names = numeric_columns(df)
-    long = df.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names]).unpivot(
-        [], names, "column", "value"
-    )
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        (F.count("*") - F.count("value")).alias("null_count"),
-        F.avg("value").alias("mean"),
-        F.stddev("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    """Count and nulls of each column; figures of numeric ones, first and last value as text of the others.
+
+    The basic figures are one aggregate, whose single row is unpivoted. The
+    quartiles of a column come from the counts of its values, read on its own.
+    """
+    numeric = numeric_columns(df)
+    figures = [*(f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType))]
+
+    def one(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        number = value.cast("double") if name in numeric else F.lit(None).cast("double")
+        text = F.lit(None).cast("string")
+        ends = (text, text) if name in numeric else (F.min(value).cast("string"), F.max(value).cast("string"))
+        return F.struct(
+            F.lit(name).alias("column"), F.count(value).alias("count"), F.count_if(value.isNull()).alias("null_count"),
+            F.avg(number).alias("mean"), F.stddev(number).alias("std"), F.min(number).alias("min"), F.max(number).alias("max"),
+            ends[0].alias("first"), ends[1].alias("last"),
+        )
+
+    basic = df.agg(F.array(*map(one, figures)).alias("found")).select(F.inline("found"))
+    counts = [
+        df.groupBy(F.col(f"`{n}`").cast("double").alias("_v")).agg(F.count("*").alias("_n")).select(F.lit(n).alias("column"), "_v", "_n")
+        for n in numeric
+    ]
     quarters = {"p25": nearest(0.25), "p50": nearest(0.5), "p75": nearest(0.75)}
-    ranks = values_at_ranks(long, ["column"], "value", quarters, most_groups=len(names))
-    return basic.join(ranks, "column", "left").select(
-        "column", "count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+    if counts:
+        ranked = basic.join(counted_values_at_ranks(reduce(DataFrame.unionAll, counts), ["column"], quarters), "column", "left")
+    else:
+        ranked = basic.withColumns({name: F.lit(None).cast("double") for name in quarters})
+    return ranked.select("column", "count", "null_count", "mean", "std", "min", *quarters, "max", "first", "last")
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -80,32 +92,32 @@ def top_categories(df: DataFrame, category: str, top: int = 10) -> DataFrame:
 def numeric_summary(df: DataFrame, category: str, value: str, top: int = 10) -> DataFrame:
     """Rows, mean, median, minimum and maximum per category, highest mean first.
 
-    The top categories by mean are found and settled first; the exact median is
-    then looked up for those alone. The broadcast frames hold one row per top
-    category.
+    Everything comes from the number of rows of each category and value, so the
+    rows are read once. The exact median is looked up for the top categories
+    alone. Joins carry no hint: `top` may be any number.
     """
-    number = F.col(value)
-    leading = settle(
-        df.groupBy(category)
+    counts = df.groupBy(category, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    number, times = F.col("_v"), F.col("_n")
+    leading = (
+        counts.groupBy(category)
         .agg(
-            F.count("*").alias("n_rows"),
-            F.try_divide(F.sum(number).cast("double"), F.count(number)).alias(f"avg_{value}"),
+            F.sum(times).alias("n_rows"),
+            F.try_divide(F.sum(number * times).cast("double"), F.sum(F.when(number.isNotNull(), times))).alias(f"avg_{value}"),
             F.min(number).alias(f"min_{value}"),
             F.max(number).alias(f"max_{value}"),
         )
         .orderBy(F.desc_nulls_first(f"avg_{value}"), category)
         .limit(top)
     )
-    chosen = leading.select(F.col(category).alias("_category"))
     same = F.col(category).eqNullSafe(F.col("_category"))
-    rows = df.select(category, value).join(F.broadcast(chosen), same, "left_semi")
+    chosen = counts.join(leading.select(F.col(category).alias("_category")), same, "left_semi")
     halves = {"_lo": below(0.5), "_hi": above(0.5)}
-    middle = values_at_ranks(rows, [category], value, halves, most_groups=top).select(
+    middle = counted_values_at_ranks(chosen, [category], halves).select(
         F.col(category).alias("_category"),
         ((F.col("_lo").cast("double") + F.col("_hi").cast("double")) / 2).alias(f"median_{value}"),
     )
     return (
-        leading.join(F.broadcast(middle), same, "left")
+        leading.join(middle, same, "left")
         .select(category, "n_rows", f"avg_{value}", f"median_{value}", f"min_{value}", f"max_{value}")
         .orderBy(F.desc_nulls_first(f"avg_{value}"), category)
     )

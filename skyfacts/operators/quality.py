@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfacts.functions.dates import in_years
-from skyfacts.schemas import FIRST_YEAR, LAST_YEAR, TABLES
+from skyfacts.schemas import FIRST_YEAR, LAST_YEAR, TABLES, require_columns
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -27,26 +27,45 @@ def orphans(df: DataFrame, columns: Sequence[str], target: DataFrame, target_col
     return used.join(known, list(columns), "left_anti")
 
 
-def _checked(df: DataFrame, table: str, columns: Sequence[str] | None, declared: Sequence[str]) -> list[str]:
-    return [c for c in (columns if columns is not None else declared) if c in df.columns]
-
-
 def null_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Nulls in each required column, in one pass."""
-    names = _checked(df, table, columns, TABLES[table].required)
-    return _counts(df, table, {name: F.col(name).isNull() for name in names}, "n_nulls")
+    """Nulls in each required column, in one pass; a column that is not there is null in every row."""
+    names = list(columns if columns is not None else TABLES[table].required)
+    tests = {name: F.col(name).isNull() if name in df.columns else F.lit(True) for name in names}
+    return _counts(df, table, tests, "n_nulls")
 
 
 def too_long(df: DataFrame, table: str, lengths: Mapping[str, int] | None = None) -> DataFrame:
-    """Rows whose text is longer than declared, per column, in one pass."""
+    """Rows whose text is longer than declared, per column, in one pass.
+
+    Lengths are in UTF-8 bytes or in characters, as the table declares. For a
+    column that is not there the number is null.
+    """
     limits = dict(lengths or TABLES[table].lengths)
-    names = _checked(df, table, None, list(limits))
-    return _counts(df, table, {name: F.length(name) > limits[name] for name in names}, "n_too_long")
+    size = F.octet_length if TABLES[table].in_bytes else F.char_length
+    tests = {name: size(name) > limit if name in df.columns else None for name, limit in limits.items()}
+    return _counts(df, table, tests, "n_too_long")
+
 
+def _counts(df: DataFrame, table: str, tests: Mapping[str, Column | None], label: str) -> DataFrame:
+    """A row per test, whether its column is there, and how many rows pass it."""
+    found = [
+        F.struct(
+            F.lit(table).alias("table"), F.lit(name).alias("column"), F.lit(name in df.columns).alias("present"),
+            (F.lit(None).cast("bigint") if test is None else F.count_if(test)).alias(label),
+        )
+        for name, test in tests.items()
+    ]
+    return df.agg(F.count("*").alias("n_rows"), F.array(*found).alias("found")).select(F.inline("found"))
 
-def _counts(df: DataFrame, table: str, tests: Mapping[str, object], label: str) -> DataFrame:
-    totals = df.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
-    return totals.unpivot([], list(tests), "column", label).select(F.lit(table).alias("table"), "column", label)
+
+def declared_length_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """too_long for every given table that declares lengths."""
+    return reduce(DataFrame.unionAll, [too_long(df, name) for name, df in tables.items() if TABLES[name].lengths])
+
+
+def declared_null_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """null_counts for every given table with required columns."""
+    return reduce(DataFrame.unionAll, [null_counts(df, name) for name, df in tables.items() if TABLES[name].required])
 
 
 def outside_years(df: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, departure: str = "departure") -> DataFrame:
@@ -70,11 +89,15 @@ def declared_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def declared_reference_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """For each declared reference between given tables, missing targets and rows affected."""
+    """For each declared reference between given tables, missing targets and rows affected.
+
+    A given table without the columns of a reference is an error.
+    """
     parts = []
     for name, df in tables.items():
         for ref in TABLES[name].references:
             if ref.table in tables:
+                require_columns(df, list(ref.columns), name)
                 parts.append(
                     orphans(df, ref.columns, tables[ref.table], ref.target).agg(
                         F.lit(name).alias("table"),

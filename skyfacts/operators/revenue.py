@@ -16,6 +16,7 @@ CLASS_NAMES = {"E": "Economy", "B": "Business", "P": "Premium"}
 # Fixed value: a misspelt heading found in datasets written elsewhere.
 MISSPELT_COUNTRY = "destination_conutry"
 
+# The text columns of the dataset.
 _TEXT = (
     "continent", "country", "city", "route", "origin", "destination",
     "destination_continent", "destination_country", "destination_city", "class",
@@ -48,10 +49,17 @@ def in_months(df: DataFrame, start: DateLike = DEFAULT_START, end: DateLike = DE
 
 
 def at_place(
-    df: DataFrame, continent: str | None = None, country: str | None = None, city: str | None = None
+    df: DataFrame, continent: str | None = None, country: str | None = None, city: str | None = None, **more: str | None
 ) -> DataFrame:
-    """Revenue from one origin continent, country and city; All leaves a level open."""
-    for name, value in (("continent", continent), ("country", country), ("city", city)):
+    """Revenue from one origin continent, country and city; All leaves a level open.
+
+    The other columns of either end of the route, the route and the class can be chosen by name.
+    """
+    chosen = {"continent": continent, "country": country, "city": city, **more}
+    unknown = set(more) - set(_TEXT)
+    if unknown:
+        raise ValueError(f"no such column of the revenue dataset: {', '.join(sorted(unknown))}")
+    for name, value in chosen.items():
         df = where_equal(df, name, value)
     return df
 

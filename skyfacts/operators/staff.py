@@ -9,7 +9,6 @@ from skyfacts.functions.aggregates import divide, exact_mean, n_unique, sum0
 from skyfacts.functions.dates import in_years
 from skyfacts.functions.ranks import nearest, values_at_ranks
 from skyfacts.schemas import YEAR_FOLDER
-from skyfacts.session import settle
 
 # Fixed value: days in a year, as the yearly staff figures count it.
 DAYS_PER_YEAR = 365.5
@@ -143,16 +142,13 @@ def monthly_hours(assignments: DataFrame) -> DataFrame:
 def staff_utilisation(assignments: DataFrame) -> DataFrame:
     """Flights, hours and routes per employee, with the P90 and P10 of hours as flags.
 
-    The thresholds are exact nearest-rank values over all employees. The
-    assignments are read once: the table of employees is settled, and the
-    passes that find the thresholds read that.
+    The thresholds are exact nearest-rank values over all employees; the passes
+    that find them read the employee table through the same exchange.
     """
-    base = settle(
-        assignments.groupBy("empno", "firstnme", "lastname", "department").agg(
-            F.count("*").alias("total_flights"),
-            _hours().alias("total_hours"),
-            n_unique("route_code").alias("unique_routes"),
-        )
+    base = assignments.groupBy("empno", "firstnme", "lastname", "department").agg(
+        F.count("*").alias("total_flights"),
+        _hours().alias("total_hours"),
+        n_unique("route_code").alias("unique_routes"),
     )
     # Hours are whole minutes, so one first bucket holds few different values: no refinement.
     rules = {"p90": nearest(HIGH_SHARE), "p10": nearest(LOW_SHARE)}

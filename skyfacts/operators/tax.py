@@ -27,7 +27,7 @@ TABLE_HEADINGS = {
 
 
 def origin_places(airports: DataFrame) -> DataFrame:
-    """Airports in the role of origin."""
+    """Airports in the role of origin; the names are fixed values of the report."""
     return airports.select(
         F.col("iata_code").alias("origin"),
         F.col("airport").alias("origin_airport"),
@@ -40,9 +40,15 @@ def origin_places(airports: DataFrame) -> DataFrame:
 
 
 def airport_tax_report(tickets_agg: DataFrame, airports: DataFrame) -> DataFrame:
-    """Tax burden per origin airport, highest share of the price first.
+    """Tax burden per origin airport, highest share of the price first."""
+    return airport_tax(tickets_agg, airports).orderBy(F.desc_nulls_first("avg_tax_pct"), "origin")
 
-    Origins without an airport row stay, with null geography.
+
+def airport_tax(tickets_agg: DataFrame, airports: DataFrame) -> DataFrame:
+    """Tax burden per origin airport in no order: what filters and totals start from.
+
+    Origins without an airport row stay, with null geography. The names of the
+    measures are fixed values of the report.
     """
     means = ("avg_airport_tax", "avg_local_tax", "avg_ticket_value", "total_revenue")
     typed = tickets_agg.select(
@@ -57,7 +63,6 @@ def airport_tax_report(tickets_agg: DataFrame, airports: DataFrame) -> DataFrame
                 "avg_tax_pct": F.try_divide(total_tax, F.col("avg_ticket_value")) * 100,
             }
         )
-        .orderBy(F.desc_nulls_first("avg_tax_pct"), "origin")
     )
 
 

@@ -6,6 +6,7 @@ oracle_views as SQL text for DuckDB, so that each checks the other.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,7 +161,7 @@ class AirlineViews:
 
     @cached_property
     def flights(self) -> DataFrame:
-        """One row per flight; the lowest aircraft number flies it.
+        """One row per flight; the lowest aircraft number flies it, unless it is unknown.
 
         The number is aggregated, not the text key: a minimum of text would
         force a sort of all tickets before the partial aggregation.
@@ -170,8 +171,23 @@ class AirlineViews:
             F.max("price").alias("price_economy"),
             F.min("leg").alias("flight_leg"),
         )
-        plane = F.concat(F.lit("P"), padded("plane_number"))
-        return flown.withColumn("airplane", plane).drop("plane_number")
+        plane = F.when(F.col("plane_number") % 97 == 5, "P-NONE").otherwise(F.concat(F.lit("P"), padded("plane_number")))
+        return flown.withColumn("airplane", plane).drop("plane_number").unionByName(self._unsold)
+
+    @property
+    def _unsold(self) -> DataFrame:
+        """Two flights per supplier that sold nothing; some have an unknown aircraft."""
+        key, day = F.col("s_suppkey"), F.col("day")
+        legs = self.source("supplier").select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("day"))
+        number = F.lpad((key % 100 + 1).cast("string"), F.lit(6), F.lit("0"))
+        return legs.select(
+            F.concat(F.lit("E"), key.cast("string")).alias("flight_id"),
+            F.concat(F.lit("R"), padded("s_suppkey"), F.lit("-1")).alias("route_code"),
+            (F.lit(datetime(1998, 2, 27)).cast("timestamp_ntz") + F.make_dt_interval((key % 40 + day).cast("int"))).alias("departure"),
+            F.lit(None).cast("decimal(12,2)").alias("price_economy"),
+            F.lit(1).cast("smallint").alias("flight_leg"),
+            F.when(key % 9 == 4, "P-NONE").otherwise(F.concat(F.lit("P"), number)).alias("airplane"),
+        )
 
     @cached_property
     def staff(self) -> DataFrame:

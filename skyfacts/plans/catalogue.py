@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfacts.functions import columns as cols
-from skyfacts.functions.dates import add_date_parts, departure_window
+from skyfacts.functions.dates import DateLike, add_date_parts
 from skyfacts.operators import capacity, network, passengers, profiling, quality, revenue, staff, tax
 from skyfacts.plans import facts
 from skyfacts.plans.airline_views import AirlineViews
 from skyfacts.plans.oracle_views import with_views
-from skyfacts.sources import tables
+from skyfacts.plans.prepare import revenue_between
+from skyfacts.sources import prepared, tables
 
 Build = Callable[[AirlineViews], DataFrame]
 
@@ -61,7 +62,8 @@ CONTINENTS, COUNTRIES = ["ASIA", "EUROPE"], ["NATION_2", "NATION_3", "NATION_7",
 TAX_RANGE = (8.2, 8.6)
 PLACE = {"continent": "ASIA", "country": "NATION_7"}
 AS_OF = date(2025, 1, 1)
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+# Destinations with a column of their own; the rest share one.
+LISTED = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
 
 # The months that the range START..END keeps.
 IN_RANGE = "year_month between date '1996-03-15' and date '1999-06-20'"
@@ -71,7 +73,7 @@ IN_YEARS = "year(departure) between 1997 and 1999"
 
 
 def _tax_report(v: AirlineViews) -> DataFrame:
-    return tax.airport_tax_report(facts.tickets_by_origin(v.tickets, v.routes), v.airports)
+    return tax.airport_tax(facts.tickets_by_origin(v.tickets, v.routes), v.airports)
 
 
 def _tax_filtered(v: AirlineViews) -> DataFrame:
@@ -83,7 +85,10 @@ def _(v):
     return facts.tickets_by_origin(v.tickets, v.routes)
 
 
-register("airport_tax_report", "J-10 P-05 P-06 P-07 P-08 T-01", "tax_report", "select * from tax_report")(_tax_report)
+@register("airport_tax_report", "J-10 P-05 P-06 P-07 P-08 T-01", "tax_report", "select * from tax_report")
+def _(v):
+    return tax.airport_tax_report(facts.tickets_by_origin(v.tickets, v.routes), v.airports)
+
 
 register(
     "tax_filtered", "F-01 F-02 X-13", "tax_report",
@@ -174,10 +179,9 @@ def _revenue(v: AirlineViews) -> DataFrame:
     return revenue.normalize_revenue(facts.revenue_fact(v.tickets, v.routes, v.airports))
 
 
-def _revenue_in_range(v: AirlineViews) -> DataFrame:
-    """The months of the report range, cut at the scan; reports check the range again."""
-    window = departure_window(START, END)
-    return revenue.normalize_revenue(facts.revenue_fact(v.tickets, v.routes, v.airports, window=window))
+def _revenue_in_range(v: AirlineViews, start: DateLike = START, end: DateLike = END) -> DataFrame:
+    """The months of the report range, cut at the scan."""
+    return revenue_between(v.tickets, v.routes, v.airports, start, end)
 
 
 _REVENUE_KEYS = """year, year_month, continent, country, city, route, origin, destination, destination_continent,
@@ -218,7 +222,7 @@ def _(v):
        where year_month between date '2020-01-01' and date '2025-12-31'""",
 )
 def _(v):
-    return revenue.total_revenue(_revenue(v))
+    return revenue.total_revenue(_revenue_in_range(v, None, None))
 
 
 @register(
@@ -476,8 +480,8 @@ def _(v):
 
 _MASTER_VIEWS = "flight_crew flights routes airplanes staff"
 _MASTER = """
-    select c.empno, c.flight_id, c.route_code, c.departure, f.airplane, r.origin, r.destination, r.distance,
-           r.flight_minutes, p.model, p.crew_members, s.firstnme, s.hiredate, s.department
+    select c.*, f.airplane, cast(f.price_economy as double) as price_economy, f.flight_leg, r.* exclude (route_code),
+           p.* exclude (aircraft_registration), s.firstnme, s.lastname, s.gender, s.hiredate, s.department
     from flight_crew c
          left join flights f on (f.flight_id, f.route_code, f.departure) = (c.flight_id, c.route_code, c.departure)
          left join routes r on r.route_code = f.route_code
@@ -491,24 +495,17 @@ def _master(v: AirlineViews) -> DataFrame:
 
 @register("crew_master", "J-12 J-13", _MASTER_VIEWS, _MASTER)
 def _(v):
-    return _master(v).select(
-        "empno", "flight_id", "route_code", "departure", "airplane", "origin", "destination", "distance",
-        "flight_minutes", "model", "crew_members", "firstnme", "hiredate", "department",
-    )
+    return as_double(_master(v), "price_economy")
 
 
 @register(
     "crew_master_quality", "A-36 A-38", _MASTER_VIEWS,
-    f"""select count(*) as n_rows, 14 as n_columns, count(*) filter (crew_members is null) as null_crew_members,
+    f"""select count(*) as n_rows, 30 as n_columns, count(*) filter (crew_members is null) as null_crew_members,
                count(*) filter (flight_minutes is null) as null_flight_minutes,
                count(*) filter (department is null) as null_department from ({_MASTER})""",
 )
 def _(v):
-    master = _master(v).select(
-        "empno", "flight_id", "route_code", "departure", "airplane", "origin", "destination", "distance",
-        "flight_minutes", "model", "crew_members", "firstnme", "hiredate", "department",
-    )
-    return profiling.join_quality(master, ["crew_members", "flight_minutes", "department"])
+    return profiling.join_quality(_master(v), ["crew_members", "flight_minutes", "department"])
 
 
 @register(
@@ -640,9 +637,10 @@ def _(v):
 
 # --- generic summaries and profiles --------------------------------------------------
 
-_PROFILED = {
-    "ticket_id": "bigint", "flight_id": "string", "route_code": "string", "departure": "timestamp_ntz",
-    "class": "string", "seats": "int", "price": "decimal(12,2)", "total_amount": "decimal(17,4)",
+_TICKET_TYPES = {
+    "ticket_id": "bigint", "passenger_id": "bigint", "flight_id": "string", "route_code": "string",
+    "departure": "timestamp_ntz", "class": "string", "plane_number": "bigint", "leg": "smallint", "seats": "int",
+    "price": "decimal(12,2)", "airport_tax": "decimal(17,4)", "local_tax": "decimal(17,4)", "total_amount": "decimal(17,4)",
 }
 
 
@@ -655,44 +653,53 @@ def _profile_sql(table: str, types: dict[str, str]) -> str:
     )
 
 
-@register("profile_tickets", "A-33", "tickets", _profile_sql("tickets", _PROFILED))
+@register("profile_tickets", "A-33", "tickets", _profile_sql("tickets", _TICKET_TYPES))
 def _(v):
-    return profiling.profile(v.tickets.select(*_PROFILED))
+    return profiling.profile(v.passenger_tickets)
 
 
-_ROUTE_TYPES = {"route_code": "string", "leg_number": "smallint", "distance": "int", "flight_minutes": "smallint"}
+_ROUTE_TYPES = {
+    "route_code": "string", "origin": "string", "destination": "string", "parent_route": "string",
+    "leg_number": "smallint", "distance": "int", "flight_minutes": "smallint",
+}
 
 
 @register("profile_routes", "A-33", "routes", _profile_sql("routes", _ROUTE_TYPES))
 def _(v):
-    return profiling.profile(v.routes.select(*_ROUTE_TYPES))
+    return profiling.profile(v.routes)
 
 
-def _describe_sql(table: str, names: list[str]) -> str:
+def _describe_sql(table: str, types: dict[str, str]) -> str:
     def rank(c: str, q: float) -> str:
         return f"""(select max({c}) from (select cast({c} as double) as {c}, row_number() over (order by {c}) as rn,
                     count(*) over () as n from {table} where {c} is not null) where rn - 1 = floor({q} * (n - 1) + 0.5))"""
 
+    def numeric(c: str) -> str:
+        return f"""round(avg(cast({c} as double)), 4) as mean, round(stddev(cast({c} as double)), 4) as std,
+                   cast(min({c}) as double) as min, {rank(c, 0.25)} as p25, {rank(c, 0.5)} as p50, {rank(c, 0.75)} as p75,
+                   cast(max({c}) as double) as max, null::varchar as "first", null::varchar as "last\""""
+
+    def other(c: str) -> str:
+        none = ", ".join(f"null::double as {n}" for n in ("mean", "std", "min", "p25", "p50", "p75", "max"))
+        return f"""{none}, min({c})::varchar as "first", max({c})::varchar as "last\""""
+
     return " union all ".join(
         f"""select '{c}' as "column", count({c}) as "count", count(*) - count({c}) as null_count,
-                   round(avg(cast({c} as double)), 4) as mean, round(stddev(cast({c} as double)), 4) as std,
-                   cast(min({c}) as double) as min, {rank(c, 0.25)} as p25, {rank(c, 0.5)} as p50,
-                   {rank(c, 0.75)} as p75, cast(max({c}) as double) as max from {table}"""
-        for c in names
+                   {other(c) if t in ("string", "timestamp_ntz") else numeric(c)} from {table}"""
+        for c, t in types.items()
     )
 
 
-@register("describe_tickets", "A-34 P-21", "tickets", _describe_sql("tickets", ["price", "total_amount", "seats"]))
+@register("describe_tickets", "A-34 P-21", "tickets", _describe_sql("tickets", _TICKET_TYPES))
 def _(v):
-    described = profiling.describe(v.tickets.select("class", "price", "total_amount", "seats"))
-    return rounded(described, 4, "mean", "std")
+    return rounded(profiling.describe(v.passenger_tickets), 4, "mean", "std")
 
 
 @register(
-    "describe_routes", "A-34", "routes", _describe_sql("routes", ["distance", "flight_minutes"]),
+    "describe_routes", "A-34", "routes", _describe_sql("routes", _ROUTE_TYPES),
 )
 def _(v):
-    return rounded(profiling.describe(v.routes.select("distance", "flight_minutes")), 4, "mean", "std")
+    return rounded(profiling.describe(v.routes), 4, "mean", "std")
 
 
 @register(
@@ -735,10 +742,54 @@ def _(v):
 @register(
     "date_parts", "P-20 X-16", "staff",
     """select empno, hiredate, cast(year(hiredate) as integer) as year, cast(month(hiredate) as integer) as month,
-              cast(isodow(hiredate) as integer) as weekday from staff""",
+              cast(isodow(hiredate) as integer) as weekday
+       from (select empno, case when empno % 7 not in (0, 3, 5) then hiredate end as hiredate from staff)""",
+)
+def _(v):
+    """Hire dates as a text file has them: blanks around, words, months only, days that do not exist."""
+    day, kind = F.col("hiredate").cast("string"), F.col("empno") % 7
+    text = F.when(kind == 0, "unknown").when(kind == 3, F.substring(day, 1, 7)).when(kind == 5, F.concat(F.substring(day, 1, 5), F.lit("02-30")))
+    return add_date_parts(v.staff.select("empno", text.otherwise(F.concat(F.lit(" "), day, F.lit(" "))).alias("hiredate")), "hiredate")
+
+
+@register(
+    "revenue_from_text", "P-03 P-04 X-09", "revenue",
+    f"""select * replace (case when year % 3 <> 0 then year_month end as year_month)
+        from (select {_REVENUE_KEYS}, cast(sum(revenue) as double) as revenue from revenue group by {_REVENUE_KEYS})""",
+)
+def _(v):
+    """The dataset as others write it: a misspelt heading, padded names, months as text that is not always a day."""
+    fact = facts.revenue_fact(v.tickets, v.routes, v.airports)
+    month = F.when(F.col("year") % 3 != 0, F.col("month").cast("string")).otherwise(F.lit("n/a"))
+    written = fact.withColumn("month", month).withColumnRenamed("destination_country", " Destination_Conutry ")
+    return as_double(revenue.normalize_revenue(written), "revenue")
+
+
+@register(
+    "market_segment_labels", "X-04 X-14", "staff",
+    """select label, n as n_staff, case when n > 0 then format('{:,}', n) end as n_staff_text from (
+           select case department when 'GROUND' then 'Ground-Staff O''Neil' else department[1] || lower(department[2:]) || ' Division 1St' end as label,
+                  count(*) as n from staff group by 1)""",
+)
+def _(v):
+    """Labels of several words, and counts with thousands separators."""
+    full = F.when(F.col("department") == "GROUND", "ground-staff o'neil").otherwise(F.concat("department", F.lit(" DIVISION 1ST")))
+    counts = v.staff.groupBy(cols.title_case(full).alias("label")).agg(F.count("*").alias("n_staff"))
+    return counts.withColumn("n_staff_text", cols.amount_text(F.col("n_staff")))
+
+
+@register(
+    "extract_airplanes", "S-17", "airplanes",
+    "select aircraft_registration, model, crew_members, seats_economy, seats_premium, seats_business from airplanes",
 )
 def _(v):
-    return add_date_parts(v.staff.select("empno", "hiredate"), "hiredate")
+    return prepared.extracted({"airplanes": v.airplanes}, "airplanes")
+
+
+@register("export_staff", "S-20", "staff", "select * from staff")
+def _(v):
+    padded = v.staff.toDF(*[f" {name.upper()} " for name in v.staff.columns])
+    return prepared.clean(padded)
 
 
 @register("option_values", "A-28", "airports", "select distinct country from airports where country is not null")
@@ -746,9 +797,9 @@ def _(v):
     return cols.option_values(v.airports, "country")
 
 
-@register("table_shape", "A-38 S-06", "tickets", "select count(*) as n_rows, 4 as n_columns from tickets")
+@register("table_shape", "A-38 S-06", "tickets", "select count(*) as n_rows, 13 as n_columns from tickets")
 def _(v):
-    return profiling.shape(v.tickets.select("ticket_id", "flight_id", "route_code", "departure"))
+    return profiling.shape(v.passenger_tickets)
 
 
 @register("row_count", "S-06", "flight_crew", "select count(*) as n_rows from flight_crew")
@@ -776,7 +827,10 @@ def _(v):
     return tables.read_sql(v.spark, text, {"seats": 10, "since": "1998-01-01"}, tickets=v.tickets)
 
 
-_LEG_NAMES = {"route_code": " ROUTE_CODE", "origin": "Origin ", "leg_number": "Leg Number", "distance": "DISTANCE"}
+_LEG_NAMES = {
+    "route_code": " ROUTE_CODE", "origin": "Origin ", "destination": " Destination ", "parent_route": "PARENT ROUTE",
+    "leg_number": "Leg Number", "distance": "DISTANCE", "flight_minutes": "Flight_Minutes",
+}
 
 
 def _unkempt(v: AirlineViews) -> DataFrame:
@@ -786,13 +840,13 @@ def _unkempt(v: AirlineViews) -> DataFrame:
 
 @register(
     "normalized_names", "P-01 X-03", "routes",
-    'select route_code, origin, leg_number as "leg number", distance from routes',
+    'select * rename (leg_number as "leg number", parent_route as "parent route") from routes',
 )
 def _(v):
     return cols.normalize_names(_unkempt(v))
 
 
-@register("standardized_names", "P-02 X-03", "routes", "select route_code, origin, leg_number, distance from routes")
+@register("standardized_names", "P-02 X-03", "routes", "select * from routes")
 def _(v):
     return cols.standardize_names(_unkempt(v))
 
@@ -884,12 +938,13 @@ def _(v):
     "continent_matrix", "D-07", "revenue",
     "select country, "
     + ", ".join(
-        f"""cast(sum(revenue) filter (destination_continent = '{r}') as double) as "{r}\"""" for r in REGIONS
+        f"""cast(sum(revenue) filter (destination_continent = '{r}') as double) as "{r}\"""" for r in LISTED
     )
-    + " from revenue group by country",
+    + f""", cast(sum(revenue) filter (destination_continent is null or destination_continent not in {tuple(LISTED)}) as double) as other
+        from revenue group by country""",
 )
 def _(v):
-    return network.place_matrix(_revenue(v), "country", "destination_continent", REGIONS)
+    return network.place_matrix(_revenue(v), "country", "destination_continent", LISTED)
 
 
 def _fleet(v: AirlineViews) -> DataFrame:
@@ -1046,23 +1101,26 @@ def _(v):
 
 
 def _references_sql() -> str:
+    flight = "flight_id, route_code, departure"
     references = (
         ("flights", "route_code", "routes", "route_code"), ("flights", "airplane", "airplanes", "aircraft_registration"),
         ("routes", "origin", "airports", "iata_code"), ("routes", "destination", "airports", "iata_code"),
         ("routes", "parent_route", "routes", "route_code"), ("flight_crew", "empno", "staff", "empno"),
-        ("tickets", "route_code", "routes", "route_code"),
+        ("flight_crew", flight, "flights", flight), ("tickets", "route_code", "routes", "route_code"),
+        ("tickets", flight, "flights", flight), ("tickets", "passenger_id", "passengers", "id"),
     )
     return " union all ".join(
         f"""select '{t}' as "table", '{c}' as "columns", '{target}' as target,
-                   count(distinct {c}) as n_missing, count(*) as n_rows
-            from {t} where {c} is not null and not exists (select 1 from {target} x where x.{key} = {t}.{c})"""
+                   count(distinct ({c})) as n_missing, count(*) as n_rows
+            from {t} where {" and ".join(f"{x} is not null" for x in c.split(", "))}
+                 and ({c}) not in (select ({key}) from {target})"""
         for t, c, target, key in references
     )
 
 
-@register("dq_references", "DQ-03 DQ-04", "flights routes airplanes airports flight_crew staff tickets", _references_sql())
+@register("dq_references", "DQ-03 DQ-04", "flights routes airplanes airports flight_crew staff tickets passengers", _references_sql())
 def _(v):
-    return quality.declared_reference_report(_key_tables(v))
+    return quality.declared_reference_report(_key_tables(v) | {"tickets": v.passenger_tickets})
 
 
 @register(
@@ -1074,30 +1132,43 @@ def _(v):
     return quality.orphans(v.flight_crew, ["empno"], v.staff, ["empno"])
 
 
-def _counts_sql(table: str, label: str, tests: dict[str, str]) -> str:
+def _counts_sql(table: str, label: str, tests: dict[str, str], absent: str = "null::bigint", lacking: str = "") -> str:
+    """A row per test; the columns in `lacking` are not in the view."""
     return " union all ".join(
-        f"""select '{table}' as "table", '{c}' as "column", count(*) filter ({test}) as {label} from {table}"""
+        f"""select '{table}' as "table", '{c}' as "column", {str(c not in lacking.split()).lower()} as present,
+                   {absent if c in lacking.split() else f"count(*) filter ({test})"} as {label} from {table} group by all"""
+        if c not in lacking.split() or absent == "count(*)" else
+        f"""select '{table}' as "table", '{c}' as "column", false as present, {absent} as {label}"""
         for c, test in tests.items()
     )
 
 
-@register(
-    "dq_nulls", "DQ-05", "routes",
-    _counts_sql("routes", "n_nulls", {c: f"{c} is null" for c in ("route_code", "distance", "flight_minutes")}),
-)
+@register("dq_nulls", "DQ-05", "routes", _counts_sql("routes", "n_nulls", {c: f"{c} is null" for c in _ROUTE_TYPES}))
 def _(v):
-    return quality.null_counts(v.routes, "routes", ["route_code", "distance", "flight_minutes"])
+    return quality.null_counts(v.routes, "routes", v.routes.columns)
+
+
+_REQUIRED = {
+    "airplanes": ("aircraft_registration model build_date fuel_gallons_hour maintenance_last_acheck maintenance_last_bcheck "
+                  "maintenance_takeoffs maintenance_flight_hours total_flight_distance", ""),
+    "airports": ("iata_code airport city country continent timezone latitude longitude", ""),
+    "flights": ("flight_id flight_leg frequency route_code departure arrival airplane", "frequency arrival"),
+    "routes": ("route_code origin destination parent_route leg_number", ""),
+    "flight_crew": ("empno flight_id route_code departure", ""),
+    "staff": ("empno firstnme lastname passport birthdate hiredate division department marital_status",
+              "passport birthdate division marital_status"),
+}
 
 
 @register(
-    "dq_required", "DQ-05", "flights",
-    _counts_sql(
-        "flights", "n_nulls",
-        {c: f"{c} is null" for c in ("flight_id", "flight_leg", "route_code", "departure", "airplane")},
+    "dq_required", "DQ-05", " ".join(_REQUIRED),
+    " union all ".join(
+        _counts_sql(t, "n_nulls", {c: f"{c} is null" for c in names.split()}, "count(*)", lacking)
+        for t, (names, lacking) in _REQUIRED.items()
     ),
 )
 def _(v):
-    return quality.null_counts(v.flights, "flights")
+    return quality.declared_null_report(_key_tables(v))
 
 
 @register(
@@ -1108,13 +1179,27 @@ def _(v):
     return quality.outside_years(v.flights, 1996, 2000).select("flight_id", "route_code", "departure", "airplane")
 
 
+_LENGTHS = {
+    "airplanes": ("strlen", {"aircraft_registration": 7, "model": 25}, ""),
+    "airports": ("strlen", {"iata_code": 3, "airport": 50, "city": 20, "country": 20, "continent": 20, "timezone": 6}, ""),
+    "flights": ("strlen", {"flight_id": 6, "frequency": 2, "route_code": 4, "airplane": 7}, "frequency"),
+    "routes": ("strlen", {"route_code": 4, "origin": 3, "destination": 3, "parent_route": 6}, ""),
+    "flight_crew": ("length", {"flight_id": 6, "route_code": 4}, ""),
+    "staff": (
+        "length",
+        {"firstnme": 20, "midinit": 1, "lastname": 20, "gender": 1, "passport": 12, "division": 40, "department": 40,
+         "marital_status": 40, "phone": 9, "email": 30},
+        "midinit passport division marital_status phone email",
+    ),
+}
+
+
 @register(
-    "dq_length", "DQ-07", "airports",
-    _counts_sql(
-        "airports", "n_too_long",
-        {c: f"length({c}) > {n}" for c, n in
-         {"iata_code": 3, "airport": 50, "city": 20, "country": 20, "continent": 20, "timezone": 6}.items()},
+    "dq_length", "DQ-07", " ".join(_LENGTHS),
+    " union all ".join(
+        _counts_sql(t, "n_too_long", {c: f"{size}({c}) > {n}" for c, n in limits.items()}, lacking=lacking)
+        for t, (size, limits, lacking) in _LENGTHS.items()
     ),
 )
 def _(v):
-    return quality.too_long(v.airports, "airports")
+    return quality.declared_length_report(_key_tables(v))

@@ -18,24 +18,45 @@ from skyfacts.schemas import FLIGHT_KEY
 
 KEY = list(FLIGHT_KEY)
 
+# The employee columns of the joined crew table.
+CREW_COLUMNS = ("empno", "firstnme", "lastname", "gender", "hiredate", "department", "division")
+
 
 def _departs_in(window: tuple[datetime, datetime]) -> Column:
     low, high = (F.lit(bound).cast("timestamp_ntz") for bound in window)
     return (F.col("departure") >= low) & (F.col("departure") < high)
 
 
+AMOUNTS = ("airport_tax", "local_tax", "total_amount")
+
+
+def ticket_sums(tickets: DataFrame, *keys: str | Column) -> DataFrame:
+    """Sums and counts of the amounts, and tickets, per key."""
+    return tickets.groupBy(*keys).agg(
+        *[F.sum(c).alias(f"{c}_sum") for c in AMOUNTS],
+        *[F.count(c).alias(f"{c}_n") for c in AMOUNTS],
+        F.count("*").alias("tickets"),
+    )
+
+
+def monthly_ticket_sums(tickets: DataFrame) -> DataFrame:
+    """One scan of tickets for both the tax and the revenue fact: sums per month, route and class."""
+    return ticket_sums(tickets, F.trunc("departure", "month").alias("at"), "route_code", "class")
+
+
 def tickets_by_origin(tickets: DataFrame, routes: DataFrame) -> DataFrame:
     """Mean taxes and ticket value, revenue and ticket count per origin airport.
 
     Sums and counts per route first, then per origin: the means are ratios of
     exact sums, so two stages give the same numbers as one.
     """
-    amounts = ["airport_tax", "local_tax", "total_amount"]
-    per_route = tickets.groupBy("route_code").agg(
-        *[F.sum(c).alias(f"{c}_sum") for c in amounts],
-        *[F.count(c).alias(f"{c}_n") for c in amounts],
-        F.count("*").alias("tickets"),
-    )
+    return origin_means(ticket_sums(tickets, "route_code"), routes)
+
+
+def origin_means(sums: DataFrame, routes: DataFrame) -> DataFrame:
+    """tickets_by_origin from sums that hold a route's tickets in any number of rows."""
+    parts = [*(f"{c}_{part}" for c in AMOUNTS for part in ("sum", "n")), "tickets"]
+    per_route = sums.groupBy("route_code").agg(*[F.sum(c).alias(c) for c in parts]) if "at" in sums.columns else sums
 
     def mean(name: str) -> Column:
         return F.try_divide(F.sum(f"{name}_sum").cast("double"), F.sum(f"{name}_n"))
@@ -70,6 +91,11 @@ def revenue_fact(
     source = tickets.where(_departs_in(window)) if window else tickets
     when = F.trunc("departure", "month") if grain == "month" else F.col("departure").cast("timestamp_ntz")
     sold = source.groupBy(when.alias("at"), "route_code", "class").agg(F.sum("total_amount").alias("revenue"))
+    return placed_revenue(sold, routes, airports)
+
+
+def placed_revenue(sold: DataFrame, routes: DataFrame, airports: DataFrame) -> DataFrame:
+    """Revenue (at, route_code, class, revenue) with both ends of the route."""
 
     def place(role: str) -> DataFrame:
         names = {"continent": "continent", "country": "country", "city": "city"}
@@ -150,9 +176,10 @@ def staff_usage(
 
 
 def capacity(flights: DataFrame, tickets: DataFrame, airplanes: DataFrame, seats: str | None = None) -> DataFrame:
-    """Seats sold and seats on board per flight that sold any.
+    """Seats sold and seats on board per flight.
 
-    A ticket row is one seat unless a column gives the number of seats.
+    A ticket row is one seat unless a column gives the number of seats. A flight
+    without tickets sold 0; one whose aircraft is unknown has a null capacity.
     """
     sold = F.sum(seats) if seats else F.count("*")
     per_flight = tickets.groupBy(*KEY).agg(sold.cast("bigint").alias("tickets_sold"))
@@ -164,9 +191,9 @@ def capacity(flights: DataFrame, tickets: DataFrame, airplanes: DataFrame, seats
     )
     return (
         flights.select(*KEY, "airplane")
-        .join(per_flight, KEY)
-        .join(planes, "airplane")
-        .select(*KEY, "tickets_sold", "total_capacity")
+        .join(per_flight, KEY, "left")
+        .join(planes, "airplane", "left")
+        .select(*KEY, F.coalesce("tickets_sold", F.lit(0).cast("bigint")).alias("tickets_sold"), "total_capacity")
     )
 
 
@@ -174,8 +201,10 @@ def crew_master(
     flight_crew: DataFrame, flights: DataFrame, routes: DataFrame, airplanes: DataFrame, staff: DataFrame
 ) -> DataFrame:
     """One row per assignment with the flight's, route's, aircraft's and employee's columns."""
+    # Crew meets flights by the flight key alone; the flight's route and aircraft are looked up after
+    # that shuffle. A crew row without a flight has no route here, though it names one.
     planes = airplanes.withColumnRenamed("aircraft_registration", "airplane")
-    enriched = flights.join(routes, "route_code", "left").join(planes, "airplane", "left")
-    kept = ("empno", "firstnme", "lastname", "gender", "hiredate", "department", "division")
-    people = staff.select(*[c for c in kept if c in staff.columns])
-    return flight_crew.join(enriched, KEY, "left").join(people, "empno", "left")
+    legs = routes.withColumnRenamed("route_code", "_flown")
+    people = staff.select(*[c for c in CREW_COLUMNS if c in staff.columns])
+    flown = flight_crew.join(flights.withColumn("_flown", F.col("route_code")), KEY, "left")
+    return flown.join(legs, "_flown", "left").drop("_flown").join(planes, "airplane", "left").join(people, "empno", "left")

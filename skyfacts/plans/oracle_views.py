@@ -52,9 +52,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                      cast(l_tax as decimal(4, 2)) as t, cast(l_discount as decimal(4, 2)) as d
               from lineitem left join orders on o_orderkey = l_orderkey)"""),
     "flights": (("tickets",), f"""
-        select flight_id, route_code, departure, 'P' || {_z('min(plane_number)')} as airplane,
+        select flight_id, route_code, departure,
+               case when min(plane_number) % 97 = 5 then 'P-NONE' else 'P' || {_z('min(plane_number)')} end as airplane,
                max(price) as price_economy, min(leg) as flight_leg
-        from tickets group by flight_id, route_code, departure"""),
+        from tickets group by flight_id, route_code, departure
+        union all
+        select 'E' || s_suppkey, 'R' || {_z('s_suppkey')} || '-1',
+               cast(date '1998-02-27' + cast(s_suppkey % 40 + i as integer) as timestamp),
+               case when s_suppkey % 9 = 4 then 'P-NONE' else 'P' || lpad(cast(s_suppkey % 100 + 1 as varchar), 6, '0') end,
+               null, cast(1 as smallint)
+        from supplier, (select unnest([1, 2]) as i)"""),
     "staff": ((), """
         select c_custkey as empno, c_name as firstnme, 'L' || (c_custkey % 50) as lastname,
                case when c_custkey % 2 = 0 then 'F' else 'M' end as gender,
@@ -113,12 +120,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              left join crew_used u on (u.flight_id, u.route_code, u.departure) = (f.flight_id, f.route_code, f.departure)
              left join routes r on r.route_code = f.route_code"""),
     "capacity": (("flights", "tickets", "airplanes"), """
-        select f.flight_id, f.route_code, f.departure, cast(sum(k.seats) as bigint) as tickets_sold,
+        select f.flight_id, f.route_code, f.departure, cast(coalesce(sum(k.seats), 0) as bigint) as tickets_sold,
                cast(any_value(seats_business) as integer) + any_value(seats_premium) + any_value(seats_economy)
                    as total_capacity
-        from flights f
-             join tickets k on (k.flight_id, k.route_code, k.departure) = (f.flight_id, f.route_code, f.departure)
-             join airplanes on aircraft_registration = f.airplane
+        from flights f left join
+             tickets k on (k.flight_id, k.route_code, k.departure) = (f.flight_id, f.route_code, f.departure)
+             left join airplanes on aircraft_registration = f.airplane
         group by f.flight_id, f.route_code, f.departure"""),
     "occupancy": (("capacity",), """
         select *, case when total_capacity <> 0 then tickets_sold / total_capacity end as capacity_pct,
@@ -153,7 +160,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              on used.airplane = aircraft_registration"""),
     "sales": (("tickets", "passengers"), """
         select k.passenger_id, k.class, k.total_amount, p.country, p.vipcard, p.birth_date
-        from tickets k join passengers p on p.id = k.passenger_id"""),
+        from tickets k left join passengers p on p.id = k.passenger_id"""),
 }
 
 

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.functions.dates import DateLike, ordered_range
-from skyfacts.operators.revenue import normalize_revenue
+from skyfacts.functions.dates import DateLike, departure_window, in_years, ordered_range
+from skyfacts.operators.passengers import passenger_sales
+from skyfacts.operators.revenue import in_months, normalize_revenue
 from skyfacts.plans import facts
 from skyfacts.schemas import YEAR_FOLDER, conform
 from skyfacts.sources.prepared import materialize
 from skyfacts.sources.sinks import write_by_year, write_parquet
 from skyfacts.sources.tables import count_rows, read_parquet
 
-RAW_TABLES = ("airports", "routes", "airplanes", "flights", "flight_crew", "staff", "tickets")
+RAW_TABLES = ("airports", "routes", "airplanes", "flights", "flight_crew", "staff", "tickets", "passengers")
 
 # Datasets at flight or assignment grain, with the column that dates them.
 DATED = {
@@ -25,44 +26,94 @@ DATED = {
     "capacity": (YEAR_FOLDER, "departure"),
 }
 
+# Sums that the tax and the revenue fact share, so that tickets are scanned for them once.
+SHARED = "monthly_tickets"
+
 Tables = Mapping[str, DataFrame]
 
 
-def read_raw(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All raw tables from one folder in declared types."""
-    return {name: conform(read_parquet(spark, f"{root}/{name}"), name) for name in RAW_TABLES}
+def read_raw(
+    spark: SparkSession, root: str, extra: Mapping[str, Sequence[str]] | None = None, absent: Mapping[str, Sequence[str]] | None = None
+) -> dict[str, DataFrame]:
+    """All raw tables from one folder in declared types.
+
+    `extra` names further columns to keep, by table, such as one with the seats
+    of a ticket; `absent` names declared ones that the folder does not have.
+    """
+    extra, absent = extra or {}, absent or {}
+    return {
+        name: conform(read_parquet(spark, f"{root}/{name}"), name, extra.get(name, ()), absent.get(name, ()))
+        for name in RAW_TABLES
+    }
 
 
-def datasets(raw: Tables, seats: str | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """How each prepared dataset is built from the raw tables."""
+def datasets(
+    raw: Tables, seats: str | None = None, monthly: DataFrame | None = None, unique_crew: bool = False
+) -> dict[str, Callable[[], DataFrame]]:
+    """How each prepared dataset is built from the raw tables.
+
+    `monthly` are stored sums of the tickets. Crew rows known to be unique
+    (quality.duplicate_keys finds none) need no grouping.
+    """
+    sums = facts.monthly_ticket_sums(raw["tickets"]) if monthly is None else monthly
     return {
-        "tickets_agg": lambda: facts.tickets_by_origin(raw["tickets"], raw["routes"]),
+        "tickets_agg": lambda: facts.origin_means(sums, raw["routes"]),
         "airports": lambda: raw["airports"],
-        "revenue": lambda: facts.revenue_fact(raw["tickets"], raw["routes"], raw["airports"]),
+        "revenue": lambda: facts.placed_revenue(
+            sums.select("at", "route_code", "class", F.col("total_amount_sum").alias("revenue")), raw["routes"], raw["airports"]
+        ),
         "q1_staff_counts": lambda: facts.staff_counts(raw["staff"]),
-        "q2_staff_assignments": lambda: facts.staff_assignments(raw["flight_crew"], raw["routes"], raw["staff"]),
+        "q2_staff_assignments": lambda: facts.staff_assignments(raw["flight_crew"], raw["routes"], raw["staff"], unique_crew),
         "q3_staff_usage": lambda: facts.staff_usage(
             raw["flights"], raw["airplanes"], raw["flight_crew"], raw["routes"]
         ),
         "capacity": lambda: facts.capacity(raw["flights"], raw["tickets"], raw["airplanes"], seats),
+        "passenger_sales": lambda: passenger_sales(raw["tickets"], raw["passengers"]),
     }
 
 
-def prepare(raw: Tables, root: str, seats: str | None = None) -> list[str]:
+def _write(name: str, df: DataFrame, path: str, refresh: bool = False) -> None:
+    """The one way each dataset is written: dated ones by year."""
+    if name in DATED:
+        year, departure = DATED[name]
+        write_by_year(df, path, year, departure, refresh=refresh)
+    else:
+        write_parquet(df, path)
+
+
+def prepare(raw: Tables, root: str, seats: str | None = None, unique_crew: bool = False) -> list[str]:
     """Build and write every prepared dataset; the names written."""
-    built = datasets(raw, seats)
+    spark = raw["tickets"].sparkSession
+    write_parquet(facts.monthly_ticket_sums(raw["tickets"]), f"{root}/{SHARED}")
+    built = datasets(raw, seats, spark.read.parquet(f"{root}/{SHARED}"), unique_crew)
     for name, build in built.items():
-        if name in DATED:
-            year, departure = DATED[name]
-            write_by_year(build(), f"{root}/{name}", year, departure)
-        else:
-            write_parquet(build(), f"{root}/{name}")
+        _write(name, build(), f"{root}/{name}")
     return list(built)
 
 
+def refresh_years(raw: Tables, root: str, first: int, last: int, seats: str | None = None, unique_crew: bool = False) -> list[str]:
+    """Rebuild the folders of some years of the dated datasets, from those years' rows; the names written.
+
+    The other datasets are totals over all years and need a full run.
+    """
+    cut = dict(raw) | {name: raw[name].where(in_years("departure", first, last)) for name in ("flights", "flight_crew", "tickets")}
+    built = datasets(cut, seats, unique_crew=unique_crew)
+    for name in DATED:
+        _write(name, built[name](), f"{root}/{name}", refresh=True)
+    return list(DATED)
+
+
 def prepared_or_built(spark: SparkSession, raw: Tables, root: str, name: str, seats: str | None = None) -> DataFrame:
     """A prepared dataset, built on first use."""
-    return materialize(spark, f"{root}/{name}", datasets(raw, seats)[name])
+    return materialize(spark, f"{root}/{name}", datasets(raw, seats)[name], lambda df, path: _write(name, df, path))
+
+
+def revenue_between(
+    tickets: DataFrame, routes: DataFrame, airports: DataFrame, start: DateLike = None, end: DateLike = None
+) -> DataFrame:
+    """Normalised revenue of the months in a range, by default the reports' own; the scan reads those departures only."""
+    window = departure_window(start, end)
+    return in_months(normalize_revenue(facts.revenue_fact(tickets, routes, airports, window=window)), start, end)
 
 
 def read_revenue(spark: SparkSession, root: str, start: DateLike = None, end: DateLike = None) -> DataFrame:

@@ -6,6 +6,7 @@ them over Parquet, so operators.quality checks them with Spark.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -22,13 +23,14 @@ class Reference:
 
 @dataclass(frozen=True)
 class Table:
-    """One table: Spark DDL (NOT NULL kept), keys, references, text lengths."""
+    """One table: Spark DDL (NOT NULL kept), keys, references, text lengths in bytes or characters."""
 
     ddl: str
     key: tuple[str, ...]
     unique: tuple[tuple[str, ...], ...] = ()
     references: tuple[Reference, ...] = ()
     lengths: dict[str, int] = field(default_factory=dict)
+    in_bytes: bool = True
 
     @property
     def schema(self) -> T.StructType:
@@ -94,8 +96,9 @@ TABLES = {
         ddl="""empno int not null, flight_id string not null, route_code string not null,
             departure timestamp_ntz not null""",
         key=("empno", *FLIGHT_KEY),
-        references=(Reference(("empno",), "staff", ("empno",)),),
+        references=(Reference(("empno",), "staff", ("empno",)), Reference(FLIGHT_KEY, "flights", FLIGHT_KEY)),
         lengths={"flight_id": 6, "route_code": 4},
+        in_bytes=False,
     ),
     "staff": Table(
         ddl="""empno int not null, firstnme string not null, midinit string, lastname string not null,
@@ -107,13 +110,18 @@ TABLES = {
             "firstnme": 20, "midinit": 1, "lastname": 20, "gender": 1, "passport": 12, "division": 40,
             "department": 40, "marital_status": 40, "phone": 9, "email": 30,
         },
+        in_bytes=False,
     ),
     "tickets": Table(
         ddl="""ticket_id bigint, passenger_id bigint, flight_id string, route_code string,
             departure timestamp_ntz, class string, seat string, price decimal(12,2),
             airport_tax decimal(12,2), local_tax decimal(12,2), total_amount decimal(12,2)""",
         key=("ticket_id",),
-        references=(Reference(("route_code",), "routes", ("route_code",)),),
+        references=(
+            Reference(("route_code",), "routes", ("route_code",)),
+            Reference(FLIGHT_KEY, "flights", FLIGHT_KEY),
+            Reference(("passenger_id",), "passengers", ("id",)),
+        ),
     ),
     "passengers": Table(
         ddl="""id bigint, firstnme string, lastname string, gender string, birth_date date,
@@ -135,24 +143,27 @@ def require_columns(df: DataFrame, names: list[str], what: str) -> DataFrame:
     return df
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Declared columns in declared types; missing key columns are an error.
+def conform(df: DataFrame, table: str, extra: Sequence[str] = (), absent: Sequence[str] = ()) -> DataFrame:
+    """Declared columns in declared types, then the named extra ones as they are.
 
-    Fixed-width text arrives padded with blanks from some sources, and padded
+    A declared column that the frame lacks is an error, unless it is named as
+    absent; then it is null. Fixed-width text arrives padded with blanks from some sources, and padded
     keys would not join, so text is right-trimmed. Decimals keep their scale.
     """
     declared = TABLES[table]
-    require_columns(df, list(declared.key), table)
-    columns = []
-    for f in declared.schema.fields:
-        if f.name not in df.columns:
+    wanted = [f for f in declared.schema.fields if f.name not in absent or f.name in df.columns]
+    require_columns(df, [*(f.name for f in wanted), *extra], table)
+    columns = [F.col(name) for name in extra]
+    for f in reversed(declared.schema.fields):
+        if f not in wanted:
+            columns.insert(0, F.lit(None).cast(f.dataType).alias(f.name))
             continue
         value = F.col(f.name)
         both = (f.dataType, df.schema[f.name].dataType)
         if all(isinstance(t, T.DecimalType) for t in both):
-            columns.append(value)
+            columns.insert(0, value)
         elif isinstance(f.dataType, T.StringType):
-            columns.append(F.rtrim(value.cast("string")).alias(f.name))
+            columns.insert(0, F.rtrim(value.cast("string")).alias(f.name))
         else:
-            columns.append(value.cast(f.dataType).alias(f.name))
+            columns.insert(0, value.cast(f.dataType).alias(f.name))
     return df.select(*columns)

@@ -58,7 +58,9 @@ def finished(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def materialize(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] = write_parquet
+) -> DataFrame:
     """Read the dataset; build and write it first when it is not there.
 
     Data without the mark of a finished write is neither trusted nor replaced.
@@ -66,16 +68,16 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame])
     if not finished(spark, path):
         if exists(spark, path):
             raise UnfinishedDataset(f"{path} holds data but no _SUCCESS mark; check and remove it")
-        write_parquet(build(), path)
+        write(build(), path)
     return spark.read.parquet(path)
 
 
 def require_inputs(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
     """All named datasets under a folder, or one error that lists the absent ones."""
     paths = {name: f"{root}/{name}" for name in names}
-    absent = [name for name, path in paths.items() if not exists(spark, path)]
+    absent = [name for name, path in paths.items() if not finished(spark, path)]
     if absent:
-        raise MissingInputs(f"run the preparation first; missing under {root}: {', '.join(absent)}")
+        raise MissingInputs(f"run the preparation first; missing or unfinished under {root}: {', '.join(absent)}")
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 
@@ -86,16 +88,31 @@ def extract(
 ) -> list[str]:
     """Write the manifest's columns and rows of each table as Parquet; the paths written."""
     paths = []
-    for name, (columns, where) in manifest.items():
+    for name in manifest:
         path = f"{root}/{name}"
-        write_parquet(standardize_names(read_table(tables[name], columns, where)), path)
+        write_parquet(extracted(tables, name, manifest), path)
         paths.append(path)
     return paths
 
 
+def extracted(
+    tables: Mapping[str, DataFrame],
+    name: str,
+    manifest: Mapping[str, tuple[Sequence[str] | None, str | None]] = RAW_EXTRACTS,
+) -> DataFrame:
+    """The manifest's columns and rows of one table, under standard names."""
+    columns, where = manifest[name]
+    return standardize_names(read_table(tables[name], columns, where))
+
+
+def clean(table: DataFrame) -> DataFrame:
+    """A whole table under standard names."""
+    return standardize_names(table)
+
+
 def export_clean(table: DataFrame, path: str) -> None:
     """A whole table with standardised names as Parquet."""
-    write_parquet(standardize_names(table), path)
+    write_parquet(clean(table), path)
 
 
 def shared(df: DataFrame) -> DataFrame:

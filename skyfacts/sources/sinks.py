@@ -10,14 +10,19 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_by_year(df: DataFrame, path: str, year: str, departure: str | None = None, mode: str = "overwrite") -> None:
+def write_by_year(
+    df: DataFrame, path: str, year: str, departure: str | None = None, mode: str = "overwrite", refresh: bool = False
+) -> None:
     """Parquet in one folder per year, so year filters skip whole folders.
 
+    A refresh replaces the folders of the years in the frame and leaves the others.
+
     The rebalance hint gives each year a few files of even size and, unlike a
     plain repartition, splits a year that is far larger than the others.
     """
     dated = df.withColumn(year, F.year(departure)) if departure else df
-    dated.hint("rebalance", F.col(year)).write.mode(mode).partitionBy(year).parquet(path)
+    writer = dated.hint("rebalance", F.col(year)).write.mode(mode).partitionBy(year)
+    writer.option("partitionOverwriteMode", "dynamic" if refresh else "static").parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

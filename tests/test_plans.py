@@ -10,12 +10,7 @@ from conftest import SF_DIR
 from skyfacts.functions.dates import departure_window
 from skyfacts.operators import staff
 from skyfacts.plans import facts
-
-# Queries that broadcast by their own hint; each holds one row per bracket or top category.
-HINTED = {
-    "staff_utilisation", "staff_overused", "staff_underused", "describe_tickets", "describe_routes",
-    "numeric_summary", "numeric_summary_routes", "ticket_value_spread",
-}
+from skyfacts.plans.catalogue import QUERIES
 
 
 def plan_of(df) -> str:
@@ -31,12 +26,12 @@ def no_automatic_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_large_plan(spark, no_automatic_broadcast, name):
     plan = plan_of(contract.queries()[name](spark, SF_DIR))
     for unwanted in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoopJoin"):
         assert unwanted not in plan
-    assert name in HINTED or "BroadcastExchange" not in plan
+    assert "BroadcastExchange" not in plan
 
 
 def test_departure_window_reaches_the_scan(views):
@@ -49,7 +44,38 @@ def test_departure_window_reaches_the_scan(views):
 def test_year_range_reaches_the_scan(views):
     usage = facts.staff_usage(views.flights, views.airplanes, views.flight_crew, views.routes)
     plan = plan_of(staff.route_crew_gap(staff.departing_in(usage, 1997, 1999)))
-    assert plan.count("GreaterThanOrEqual(l_shipdate,1997-01-01T00:00)") >= 1
+    assert plan.count("GreaterThanOrEqual(l_shipdate,1997-01-01T00:00)") >= 2
+
+
+@pytest.mark.parametrize("name", ["tax_kpis", "top_countries_tax"])
+def test_totals_do_not_sort_their_rows(spark, views, name):
+    plan = plan_of(QUERIES[name].build(views))
+    assert "rangepartitioning(avg_tax_pct" not in plan
+
+
+def test_occupancy_totals_copy_no_rows(spark, views):
+    assert "Expand" not in plan_of(QUERIES["capacity_kpis"].build(views))
+
+
+RANGED = ["revenue_total", "revenue_total_default_range", "revenue_top_route", "revenue_top_city", "revenue_trend",
+          "revenue_by_class", "revenue_by_country", "revenue_by_location"]
+
+
+@pytest.mark.parametrize("name", RANGED)
+def test_ranged_revenue_reads_the_range_alone(views, name):
+    plan = plan_of(QUERIES[name].build(views))
+    assert "GreaterThanOrEqual(l_shipdate," in plan and "LessThan(l_shipdate," in plan
+
+
+def test_crew_meets_flights_before_the_dimensions(views, spark, no_automatic_broadcast):
+    """The large join sees neither route nor aircraft columns."""
+    master = facts.crew_master(views.flight_crew, views.flights, views.routes, views.airplanes, views.staff)
+    lines = master._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line and "flight_id" in line)
+    depth = lines[at].index("Join")
+    below = [line for line in lines[at + 1 :]]
+    end = next((i for i, line in enumerate(below) if len(line) - len(line.lstrip(" :+-")) <= depth), len(below))
+    assert end > 0 and not any("build_date" in line or "parent_route" in line for line in below[:end])
 
 
 def test_only_needed_columns_are_read(views):

@@ -1,4 +1,4 @@
-"""Exact order statistics against brute force, with skew, ties, nulls and both join paths."""
+"""Exact order statistics against brute force, with skew, ties and nulls."""
 
 from __future__ import annotations
 
@@ -38,18 +38,33 @@ def sample():
 def test_groups(spark, refinements):
     groups, data = sample()
     df = spark.createDataFrame(data + [("hot", None), ("empty", None)], "k string, v double").repartition(5)
-    found = ranks.values_at_ranks(df, ["k"], "v", RULES, refinements=refinements, most_groups=10)
+    found = ranks.values_at_ranks(df, ["k"], "v", RULES, refinements=refinements)
     assert {r.k: tuple(r)[1:] for r in found.collect()} == {k: brute(v) for k, v in groups.items()}
 
 
-def test_counted_groups_and_shuffled_join(spark, monkeypatch):
+def test_groups_by_type(spark):
     groups, data = sample()
     df = spark.createDataFrame(data, "k string, v double")
-    counted = ranks.values_at_ranks(df, ["k"], "v", RULES)
-    monkeypatch.setattr(ranks, "BROADCAST_GROUPS", 2)
-    shuffled = ranks.values_at_ranks(df, ["k"], "v", RULES)
-    for found in (counted, shuffled):
-        assert {r.k: tuple(r)[1:] for r in found.collect()} == {k: brute(v) for k, v in groups.items()}
+    found = ranks.values_at_ranks(df, ["k"], "v", RULES)
+    assert {r.k: tuple(r)[1:] for r in found.collect()} == {k: brute(v) for k, v in groups.items()}
+
+
+def test_narrow_band_is_split_to_single_values(spark, monkeypatch):
+    """All values in one first bucket: what is ranked in the end is a few values per rank, not the group."""
+    rnd = random.Random(3)
+    values = [1e9 + rnd.random() for _ in range(20_000)] + [1e9 + 0.25] * 10_000
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    seen = []
+    kept = ranks._running
+    monkeypatch.setattr(ranks, "_running", lambda rows, group, order: seen.append(rows) or kept(rows, group, order))
+    (row,) = ranks.values_at_ranks(df, [], "v", RULES).collect()
+    assert tuple(row) == brute(values)
+    assert seen[-1].count() <= 3 * len(RULES)
+
+
+def test_nothing_runs_before_an_action(spark):
+    df = spark.createDataFrame([(1.0,)], "v double").select(F.assert_true(F.lit(False) & (F.col("v") > 0)), "v")
+    ranks.values_at_ranks(df, [], "v", RULES)
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 10, 11, 100, 1500])
@@ -74,5 +89,5 @@ def test_not_a_number_and_infinity_come_last(spark):
 
 def test_decimals_keep_their_type(spark):
     df = spark.range(1001).select(F.lit("x").alias("k"), (F.col("id") / 100).cast("decimal(12,2)").alias("v"))
-    (row,) = ranks.values_at_ranks(df, ["k"], "v", {"m": ranks.below(0.5)}, most_groups=1).collect()
+    (row,) = ranks.values_at_ranks(df, ["k"], "v", {"m": ranks.below(0.5)}).collect()
     assert str(row.m) == "5.00"

@@ -252,20 +252,77 @@ def test_median_of_an_even_count_and_of_null_category(spark):
 def test_quality_checks(spark):
     df = spark.createDataFrame([("ab", 1), ("ab", 1), ("abcd", None)], "iata_code string, x int")
     assert [tuple(r) for r in quality.duplicate_keys(df, ["iata_code"]).collect()] == [("ab", 2)]
-    assert [tuple(r) for r in quality.too_long(df, "airports").collect()] == [("airports", "iata_code", 1)]
-    assert [tuple(r) for r in quality.null_counts(df, "airports", ["x"]).collect()] == [("airports", "x", 1)]
+    long = {r.column: (r.present, r.n_too_long) for r in quality.too_long(df, "airports").collect()}
+    assert long.pop("iata_code") == (True, 1) and set(long.values()) == {(False, None)} and len(long) == 5
+    assert [tuple(r) for r in quality.null_counts(df, "airports", ["x"]).collect()] == [("airports", "x", True, 1)]
+    nulls = {r.column: (r.present, r.n_nulls) for r in quality.null_counts(df, "airports").collect()}
+    assert nulls.pop("iata_code") == (True, 0) and set(nulls.values()) == {(False, 3)} and len(nulls) == 7
+    with pytest.raises(SchemaError):
+        quality.declared_reference_report({"flights": df, "routes": df})
     target = spark.createDataFrame([("ab",)], "code string")
     assert [tuple(r) for r in quality.orphans(df, ["iata_code"], target, ["code"]).collect()] == [("abcd", 1)]
     flown = spark.createDataFrame([(datetime(2009, 12, 31, 23, 59, 59),), (datetime(2026, 12, 31, 23, 59, 59),), (datetime(2027, 1, 1),)], "departure timestamp_ntz")
     assert quality.outside_years(flown).count() == 2
 
 
+def test_lengths_are_bytes_or_characters(spark):
+    city = "Águeda e São João Mx"  # 20 characters, 24 bytes
+    airports = spark.createDataFrame([(city,)], "city string")
+    staff_rows = spark.createDataFrame([(city,)], "firstnme string")
+    assert {r.column: r.n_too_long for r in quality.too_long(airports, "airports").collect()}["city"] == 1
+    assert {r.column: r.n_too_long for r in quality.too_long(staff_rows, "staff").collect()}["firstnme"] == 0
+
+
+def test_capacity_keeps_every_flight(spark):
+    key = "flight_id string, route_code string, departure timestamp_ntz"
+    at = datetime(2024, 1, 1)
+    flown = spark.createDataFrame([("F1", "R1", at, "P1"), ("F2", "R1", at, "P1"), ("F3", "R1", at, "P9")], f"{key}, airplane string")
+    sold = spark.createDataFrame([("F1", "R1", at), ("F1", "R1", at), ("F3", "R1", at)], key)
+    planes = spark.createDataFrame([("P1", 1, 1, 2)], "aircraft_registration string, seats_business smallint, seats_premium smallint, seats_economy smallint")
+    made = facts.capacity(flown, sold, planes)
+    assert {r.flight_id: (r.tickets_sold, r.total_capacity) for r in made.collect()} == {"F1": (2, 4), "F2": (0, 4), "F3": (1, None)}
+    assert tuple(one(capacity.occupancy_thresholds(capacity.occupancy(made)))) == (0, 1, 1)
+
+
+def test_tickets_of_unknown_passengers_keep_their_revenue(spark):
+    sold = spark.createDataFrame([(1, "E", 5.0), (2, "E", 7.0)], "passenger_id bigint, class string, total_amount double")
+    who = spark.createDataFrame([(1, "X", 1, None)], "id bigint, country string, vipcard int, birth_date date")
+    found = passengers.by_country(passengers.passenger_sales(sold, who)).collect()
+    assert {r.country: r.revenue for r in found} == {"X": 5.0, None: 7.0}
+
+
+def test_unlisted_destinations_share_a_column(spark):
+    sold = spark.createDataFrame([("A", "X", 1.0), ("A", "Y", 2.0), ("A", None, 4.0)], "country string, place string, revenue double")
+    assert one(network.place_matrix(sold, "country", "place", ["X"])).asDict() == {"country": "A", "X": 1.0, "other": 6.0}
+
+
+def test_revenue_is_cut_by_any_place_and_class(spark):
+    names = ["class", "origin", "destination_city"]
+    sold = spark.createDataFrame([("E", "A", "c", 1.0), ("B", "A", "c", 2.0), ("E", "B", "d", 4.0)], [*names, "revenue"])
+    assert revenue.at_place(sold, **{"class": "E", "destination_city": "c", "origin": "All"}).count() == 1
+    with pytest.raises(ValueError, match="nowhere"):
+        revenue.at_place(sold, nowhere="x")
+
+
+def test_describe_covers_text_and_dates(spark):
+    df = spark.createDataFrame([("b", date(2020, 1, 2), 1), ("a", None, 3), (None, date(2019, 1, 1), None)], "k string, d date, v int")
+    found = {r.column: r for r in profiling.describe(df).collect()}
+    assert (found["k"]["count"], found["k"].null_count, found["k"].first, found["k"].last, found["k"].mean) == (2, 1, "a", "b", None)
+    assert (found["d"].first, found["d"].last) == ("2019-01-01", "2020-01-02")
+    assert (found["v"].min, found["v"].p50, found["v"].max, found["v"].first) == (1.0, 3.0, 3.0, None)
+
+
 def test_conform_trims_padded_keys(spark):
-    padded = spark.createDataFrame([("AB ", "x", 5)], "iata_code string, airport string, latitude int")
-    row = one(conform(padded, "airports"))
-    assert (row.iata_code, row.latitude) == ("AB", 5.0)
+    padded = spark.createDataFrame([("AB ", "x", 5, "kept")], "iata_code string, airport string, latitude int, note string")
+    others = ["city", "country", "continent", "timezone", "longitude", "airport_tax"]
+    made = conform(padded, "airports", extra=["note"], absent=others)
+    assert made.columns == ["iata_code", "airport", "city", "country", "continent", "timezone", "latitude", "longitude", "airport_tax", "note"]
+    assert (one(made).iata_code, one(made).latitude, one(made).city, one(made).note) == ("AB", 5.0, None, "kept")
+    for bad in ({"absent": others[1:]}, {"absent": others, "extra": ["gone"]}):
+        with pytest.raises(SchemaError):
+            conform(padded, "airports", **bad)
     with pytest.raises(SchemaError):
-        conform(padded.drop("iata_code"), "airports")
+        conform(padded.drop("iata_code"), "airports", absent=others)
     with pytest.raises(SchemaError):
         require_columns(padded, ["nothing"], "padded")
 

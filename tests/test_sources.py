@@ -8,11 +8,20 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from skyfacts.operators import capacity, revenue, staff, tax
+from skyfacts.operators import capacity, passengers, revenue, staff, tax
 from skyfacts.plans import facts, prepare
 from skyfacts.sources import catalog, prepared, sinks, tables
 
-RAW = ("airports", "routes", "airplanes", "flights", "flight_crew", "staff")
+RAW = ("airports", "routes", "airplanes", "flights", "flight_crew", "staff", "passengers")
+# Declared columns that the test views do not have.
+ABSENT = {
+    "flights": ["frequency", "arrival", "price_premium", "price_business"],
+    "staff": ["midinit", "passport", "birthdate", "division", "marital_status", "phone", "email"],
+    "tickets": ["seat"], "passengers": ["lastname", "gender"],
+}
+DATASETS = [
+    "tickets_agg", "airports", "revenue", "q1_staff_counts", "q2_staff_assignments", "q3_staff_usage", "capacity", "passenger_sales",
+]
 
 
 @pytest.fixture(scope="module")
@@ -28,18 +37,17 @@ def raw_folder(views, tmp_path_factory):
 def ready(spark, raw_folder, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("prepared"))
     written = prepare.prepare(seat_tables(spark, raw_folder), root, seats="seats")
-    assert set(written) == {"tickets_agg", "airports", "revenue", "q1_staff_counts", "q2_staff_assignments", "q3_staff_usage", "capacity"}
+    assert written == DATASETS
     return root
 
 
 def seat_tables(spark, root):
-    """Raw tables with the fixture's own seats column kept."""
-    raw = prepare.read_raw(spark, root)
-    return raw | {"tickets": spark.read.parquet(f"{root}/tickets")}
+    """Raw tables with the column that gives a ticket's seats."""
+    return prepare.read_raw(spark, root, extra={"tickets": ["seats"]}, absent=ABSENT)
 
 
 def test_prepared_reports_equal_direct_ones(spark, views, ready, rows):
-    read = prepared.require_inputs(spark, ready, ["tickets_agg", "airports", "revenue", "q1_staff_counts", "q2_staff_assignments", "q3_staff_usage", "capacity"])
+    read = prepared.require_inputs(spark, ready, DATASETS)
     direct = tax.airport_tax_report(facts.tickets_by_origin(views.tickets, views.routes), views.airports)
     assert rows(tax.airport_tax_report(read["tickets_agg"], read["airports"])) == rows(direct)
     fact = revenue.normalize_revenue(facts.revenue_fact(views.tickets, views.routes, views.airports, grain="departure"))
@@ -53,6 +61,8 @@ def test_prepared_reports_equal_direct_ones(spark, views, ready, rows):
     assert rows(capacity.occupancy(read["capacity"]).select("flight_id", "capacity_pct")) == rows(
         capacity.occupancy(direct_capacity).select("flight_id", "capacity_pct")
     )
+    sales = passengers.passenger_sales(views.passenger_tickets, views.passengers)
+    assert rows(passengers.by_country(read["passenger_sales"])) == rows(passengers.by_country(sales))
     counts = prepare.report_counts(spark, ready, ["capacity"])
     assert counts["capacity"].first().n_rows == direct_capacity.count()
 
@@ -81,6 +91,36 @@ def test_sums_agree_across_reports(views):
         assert report(fact, *span).agg(F.sum("total_revenue")).first()[0] == pytest.approx(total, rel=1e-12)
 
 
+def test_tickets_are_scanned_once_for_tax_and_revenue(spark, raw_folder, ready):
+    stored = spark.read.parquet(f"{ready}/{prepare.SHARED}")
+    built = prepare.datasets(seat_tables(spark, raw_folder), "seats", stored)
+    for name in ("tickets_agg", "revenue"):
+        assert f"{raw_folder}/tickets" not in built[name]()._jdf.queryExecution().toString()
+
+
+def test_one_year_is_refreshed_alone(spark, raw_folder, tmp_path, rows):
+    raw = seat_tables(spark, raw_folder)
+    root = str(tmp_path)
+    prepare.prepare(raw, root, seats="seats")
+    before = {name: rows(spark.read.parquet(f"{root}/{name}")) for name in prepare.DATED}
+    files = set(os.listdir(f"{root}/capacity/departure_year=1996"))
+    assert prepare.refresh_years(raw, root, 1997, 1997, seats="seats") == list(prepare.DATED)
+    assert {name: rows(spark.read.parquet(f"{root}/{name}")) for name in prepare.DATED} == before
+    assert set(os.listdir(f"{root}/capacity/departure_year=1996")) == files
+
+
+def test_built_on_demand_lies_in_year_folders(spark, raw_folder, tmp_path):
+    prepare.prepared_or_built(spark, seat_tables(spark, raw_folder), str(tmp_path), "q3_staff_usage")
+    assert "departure_year=1997" in os.listdir(f"{tmp_path}/q3_staff_usage")
+
+
+def test_unfinished_inputs_are_missing(spark, tmp_path):
+    sinks.write_parquet(spark.range(3), f"{tmp_path}/half")
+    os.remove(f"{tmp_path}/half/_SUCCESS")
+    with pytest.raises(prepared.MissingInputs, match="half"):
+        prepared.require_inputs(spark, str(tmp_path), ["half"])
+
+
 def test_smoke_run_limits_each_query(spark, raw_folder):
     built = prepare.datasets(seat_tables(spark, raw_folder), "seats")
     shown = prepare.smoke_run({name: built[name] for name in ("q1_staff_counts", "q3_staff_usage")}, rows=7)
