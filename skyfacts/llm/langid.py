@@ -44,6 +44,11 @@ CHUNK = 1 << 20
 _scratch: dict[str, np.ndarray] = {}
 
 
+def has_letter(text: str) -> bool:
+    found = LETTER.search(text)  # a letter, or now and then a number that is not a digit
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text[found.end() :])))
+
+
 def distinct(codes: np.ndarray) -> np.ndarray:
     """Distinct codes below 2**24, without sorting: of equal codes the last one written is kept."""
     if "seen" not in _scratch:
@@ -118,7 +123,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score from 0 to 1 of each text; UNKNOWN with score 0 for a text without letters."""
-        own = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        own = [i for i, t in enumerate(texts) if t and has_letter(t)]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         for at in range(0, len(own) if self.languages else 0, ROWS):
             rows = own[at : at + ROWS]

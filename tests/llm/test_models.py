@@ -47,6 +47,10 @@ def test_languages_of_awkward_documents(awkward, nothing):
     assert {r["lang_pred"] for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in ("", "²½ Ⅷ 12_", "² é", "ª", "日", "1a")] == [False, False, True, True, True, True]
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(2)
     machine = quality_fm.Machine(0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
