@@ -6,7 +6,8 @@ row. Each pass then counts a group's values in buckets, which merge map-side to
 a bounded histogram, and keeps only the buckets that hold a wanted rank. The
 first buckets have equal ratio; later passes split each bucket between the
 least and greatest value seen in it. The type of the value gives the number of
-passes after which a bucket holds a single value, or at most a few.
+passes: after them a bucket holds at most 2 ** MOST_DIGITS different values, and
+for evenly spread ones a single value.
 
 Nothing runs before an action, and no side is broadcast by a hint.
 """
@@ -24,6 +25,7 @@ RankRule = Callable[[Column], Column]
 
 BUCKETS = 1 << 16
 BUCKETS_PER_E = 1024
+MOST_DIGITS = 22
 
 # Binary digits that tell the values of a type apart.
 DIGITS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63, T.FloatType: 24, T.DoubleType: 53}
@@ -43,9 +45,9 @@ def above(q: float) -> RankRule:
 
 
 def passes(kind: T.DataType) -> int:
-    """Refinements after which a first bucket of values of this type is split into single values."""
+    """Refinements after which a first bucket of this type's values holds few enough of them for one task."""
     digits = ceil(kind.precision * log2(10)) if isinstance(kind, T.DecimalType) else DIGITS[type(kind)]
-    return max(1, ceil((digits - log2(BUCKETS_PER_E)) / log2(BUCKETS)))
+    return max(1, ceil((digits - log2(BUCKETS_PER_E) - MOST_DIGITS) / log2(BUCKETS)))
 
 
 def values_at_ranks(
