@@ -48,9 +48,9 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches of few rows, as one text can be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
+    """Arrow batches of few rows: one text can be megabytes long, and the size of a batch with lists is summed up for each row."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
