@@ -17,7 +17,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sc
 
 
 @pytest.fixture(scope="session", autouse=True)
-def workers(spark):
+def workers(spark, tmp_path_factory):
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(contract.__file__))
 
 
