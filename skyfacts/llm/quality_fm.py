@@ -144,16 +144,17 @@ def train(
     drawn. Ids are drawn before texts are read.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    known = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
-        .join(marks.groupBy("id").agg(F.max("label").alias("label")), "id")
-        .select(F.xxhash64("id", "text").alias("draw"), "label", F.coalesce("text", F.lit("")).alias("text"))
-    )
-    last = known.select("draw").distinct().orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
-    if last is None:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") <= sample_bytes)
+    keyed = keyed.withColumn("draw", F.xxhash64("id", "text"))
+    # Only hashes and ids meet the labels; no text is shuffled.
+    marked = keyed.select("draw", "id").join(marks.groupBy("id").agg(F.max("label").alias("label")), "id")
+    drawn = marked.groupBy("draw").agg(F.max("label").alias("label")).orderBy("draw").limit(sample).collect()
+    if not drawn:
         return fit([], [])
-    rows = known.where(F.col("draw") <= last).dropDuplicates(["draw"]).orderBy("draw").collect()  # at most `sample`
+    wanted = docs.sparkSession.createDataFrame(drawn, "draw long, label int")  # at most `sample` rows
+    rows = keyed.join(F.broadcast(wanted), "draw").select("draw", "label", "text").dropDuplicates(["draw"]).collect()
+    rows.sort(key=lambda r: r["draw"])
     return fit([features(r["text"]) for r in rows], [r["label"] for r in rows])
 
 
