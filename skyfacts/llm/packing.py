@@ -1,11 +1,12 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit, longest first. All documents of one length are
-interchangeable, and so are all gaps of one size, so a round works on whole runs
-of them: the documents are range-sorted by length, the gaps by size, and each
-round places one run of documents by a successor sweep, which goes from the
-smallest gap that fits upward and fills each gap as often as the length goes
-into it. Which document gets which gap is a matter of rank: the sweep hands out
+Best fit, longest first. All documents of one length are interchangeable, and so
+are all gaps of one size, so a step works on whole runs of them. The driver plans
+all steps in a loop over the histogram of lengths, which Spark counts: each
+places one run of documents by a successor sweep, which goes from the smallest
+gap that fits upward and fills each gap as often as the length goes into it.
+This replaces a range sort of the documents and distributed sweeps repeated over
+them, as the plan is the same and has few entries whatever the corpus. Which document gets which gap is a matter of rank: the sweep hands out
 intervals of ranks, so no two documents meet in a place. The gaps are then
 updated, and the next shorter run follows. What is left over opens new
 sequences. This is exactly best-fit decreasing of the single documents.
