@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import attention_lm, decontaminate, langid, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc
+from skyfacts.llm import attention_lm, decontaminate, langid, merkle, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -68,6 +68,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), tampered=merkle.lower_cased_in_thirds())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
@@ -79,8 +83,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_fm": op9_quality_fm,
     "op10_nn_descent": op10_nn_descent,
+    "op13_merkle": op13_merkle,
 }
 
+#: crc32 of a number's digits: per byte eight steps of the reflected polynomial.
+CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''),
+    lambda c: [ord(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"""
+
+
+def _merkle_sql(levels: int = 9, arity: int = 8) -> str:
+    """The trees level by level, unrolled: enough for arity ** levels rows of a language."""
+
+    def encoded(column: str) -> str:
+        return f"coalesce(octet_length(encode({column}::varchar)) || ':' || {column}::varchar, '-')"
+
+    def digest(text: str) -> str:
+        return f"sha256({' || '.join(encoded(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    def up(name: str, k: int) -> str:
+        """One level from the one before, and each leaf's folded digest and siblings there."""
+        return f"""
+        {name}{k} as (
+            select g, i // {arity} i, sha256(string_agg(d, '' order by i)) d, any_value(n + {arity - 1}) // {arity} n
+            from {name}{k - 1} where n > 1 group by g, i // {arity} union all select * from {name}{k - 1} where n = 1
+        ), {name}p{k} as (
+            select p.doc_id, p.leaf, p.no, p.g, p.i // {arity} i, p.tree,
+                p.proof || coalesce(string_agg(s.d, '' order by s.i), '') proof,
+                case when any_value(c.n) > 1 then sha256(coalesce(string_agg(s.d, '' order by s.i) filter (s.i < p.i), '') || p.acc
+                    || coalesce(string_agg(s.d, '' order by s.i) filter (s.i > p.i), '')) else p.acc end acc
+            from {name}p{k - 1} p join (select distinct g, n from {name}{k - 1}) c on c.g = p.g
+            left join {name}{k - 1} s on s.g = p.g and s.i // {arity} = p.i // {arity} and s.i <> p.i
+            group by p.doc_id, p.leaf, p.no, p.g, p.i, p.tree, p.proof, p.acc
+        ),"""
+
+    changed = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        with leaves as (
+            select doc_id, {digest('text')} leaf, case when {CRC} % 3 = 0 then {digest(changed)} else {digest('text')} end now,
+                dense_rank() over (order by lang nulls first) - 1 g, row_number() over (order by lang nulls first, doc_id nulls first, {digest('text')}) no
+            from documents
+        ), numbered as (select *, no - min(no) over (partition by g) i, count(*) over (partition by g) n from leaves),
+        a0 as (select g, i, leaf d, n from numbered),
+        ap0 as (select doc_id, leaf, no, g, i, g tree, '' proof, now acc from numbered),
+        {"".join(up("a", k) for k in range(1, levels + 1))}
+        b0 as (select 0 g, g i, d, count(*) over () n from a{levels}),
+        bp0 as (select doc_id, leaf, no, 0 g, tree i, tree, proof, acc from ap{levels}),
+        {"".join(up("b", k) for k in range(1, levels + 1))}
+        told as (
+            select doc_id, leaf, s.d subroot, r.d root, sha256(proof) proof_sha256, acc folded_root
+            from bp{levels} p join a{levels} s on s.g = p.tree cross join b{levels} r
+        )
+        select *, folded_root = root verified from told"""
+
+
 HOST = r"regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')"
 PATH = r"regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
 
@@ -124,4 +179,5 @@ SQL: dict[str, str] = {
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
             sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
         from docs left join hit using (doc_id) left join named using (doc_id)""",
+    "op13_merkle": _merkle_sql(),
 }
