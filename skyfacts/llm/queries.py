@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import attention_lm, decontaminate, langid, merkle, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc
+from skyfacts.llm import attention_lm, decontaminate, langid, merkle, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc, whitening
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -68,6 +68,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"), tampered=merkle.lower_cased_in_thirds())
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_fm": op9_quality_fm,
     "op10_nn_descent": op10_nn_descent,
+    "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
 
