@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfacts.llm import attention_lm, decontaminate, langid, merkle, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc, whitening
+from skyfacts.llm import attention_lm, decontaminate, kd_search, langid, merkle, nn_descent, packing, quality_fm, simhash, token_blocks, url_rules, warc, whitening
 
 #: Host, path and verdict of the production rules.
 URL_RULES = [
@@ -68,6 +68,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_fm": op9_quality_fm,
     "op10_nn_descent": op10_nn_descent,
+    "op11_kd_search": op11_kd_search,
     "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
@@ -184,5 +189,14 @@ SQL: dict[str, str] = {
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
             sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
         from docs left join hit using (doc_id) left join named using (doc_id)""",
+    "op11_kd_search": """
+        with whole as (
+            select distinct vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)) x from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+        ), scored as (
+            select q.vec_id query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint score
+            from whole q join whole c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0
+        ), ranked as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 10""",
     "op13_merkle": _merkle_sql(),
 }
