@@ -29,6 +29,7 @@ ARITY = 8
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PATH = "array<struct<before:binary,after:binary>>"
 NODE = ("tree", "place", "nodes", "digest")
 
 
@@ -157,25 +158,34 @@ def manifest(
     return Manifest(leaves, levels, subroots, tops, last[0] if last else None)
 
 
-def _descend(above: DataFrame, levels: list[DataFrame], arity: int) -> DataFrame:
-    """(tree, place, path) of the lowest nodes; `above` has (tree, path) of the roots."""
-    down = above.select("tree", F.lit(0).cast("long").alias("place"), "path")
+def _descend(leaves: DataFrame, levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
+    """The leaves, each with the `path` to the root of all; `above` has (tree, path) of the trees' own roots.
+
+    A node whose parent is its tree's root goes on with that root's path, all
+    others with their parent's.
+    """
+    roots = above.select("tree", F.col("path").alias("rest"))
+    down = None
     for level in reversed(levels):
-        up = down.select("tree", F.col("place").alias("above"), "path")
-        met = level.withColumn("above", F.floor(F.col("place") / arity)).join(up, ["tree", "above"])
-        path = F.concat(F.array(F.struct("before", "after")), "path")
-        # A tree that is lower than others joins in at its own root, whose only place is 0.
-        low = down.join(level.where("place = 0").select("tree"), "tree", "left_anti")
-        down = met.select("tree", "place", path.alias("path")).unionByName(low)
-    return down
+        met = level.withColumn("up", F.floor(F.col("place") / arity))
+        if down is not None:
+            met = met.join(down.select("tree", F.col("place").alias("up"), "path"), ["tree", "up"], "left")
+        else:
+            met = met.withColumn("path", F.lit(None).cast(PATH))
+        path = F.concat(F.array(F.struct("before", "after")), F.coalesce("path", "rest"))
+        down = met.join(roots, "tree").select("tree", "place", path.alias("path"))
+    if down is None:
+        return leaves.join(roots.withColumnRenamed("rest", "path"), "tree")
+    met = leaves.join(down, ["tree", "place"], "left").join(roots, "tree")
+    return met.withColumn("path", F.coalesce("path", "rest")).drop("rest")
 
 
 def proofs(made: Manifest, arity: int = ARITY) -> DataFrame:
-    """(tree, place, path) per leaf: from the leaf's run up to the root's, the digests left and right of its node."""
-    nothing = F.array().cast("array<struct<before:binary,after:binary>>")
-    root = made.subroots.sparkSession.range(1).select(F.lit(0).alias("tree"), nothing.alias("path"))
-    above = _descend(root, made.tops, arity).select(F.col("place").alias("tree"), "path") if made.root else root.limit(0)
-    return _descend(above, made.levels, arity)
+    """The leaves, each with its `path`: from the leaf's run up to the root's, the digests left and right of its node."""
+    root = made.subroots.sparkSession.range(1).select(F.lit(0).alias("tree"), F.array().cast(PATH).alias("path"))
+    tops = made.subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("place"))
+    above = _descend(tops, made.tops, root, arity).select(F.col("place").alias("tree"), "path")
+    return _descend(made.leaves, made.levels, settle(above, "above"), arity)
 
 
 def folded(digest: Column, path: Column) -> Column:
@@ -203,7 +213,7 @@ def audit(
     now = F.when(~same, changed).alias("now")  # null where the row folds as its leaf does
     made = manifest(rows, columns=columns, id_col=id_col, group_col=group_col, arity=arity, carried=[now])
     roots = made.subroots.select("tree", F.col("digest").alias("subroot"))
-    found = made.leaves.join(proofs(made, arity), ["tree", "place"]).join(roots, "tree")
+    found = proofs(made, arity).join(roots, "tree")
     end = folded(F.coalesce("now", "digest"), F.col("path"))
     told = found.select(
         F.col("id").alias(id_col), hex_text(F.col("digest")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"),
