@@ -27,18 +27,28 @@ DAY_NAMES = {
 
 DateLike = date | datetime | str | None
 
-_ISO_DAY = re.compile(r"(\d{4})-(\d{2})-(\d{2})", re.ASCII)
+# Days and weeks in ISO form, with both hyphens or with none.
+_ISO_DAY = re.compile(r"(\d{4})(-?)(\d{2})\2(\d{2})", re.ASCII)
+_ISO_WEEK = re.compile(r"(\d{4})(-?)W(\d{2})(?:\2([1-7]))?", re.ASCII)
 
 
 def to_date(value: DateLike, fallback: date) -> date:
     """The day that the first ten characters spell in ISO form; fallback if they spell none.
 
-    Dates and timestamps write themselves that way, so they need no rule of their own.
+    That form is a day or a weekday, written with hyphens or without; a week
+    alone is its Monday. Dates and timestamps write themselves that way, so they
+    need no rule of their own.
     """
-    spelled = _ISO_DAY.match(str(value))
-    year, month, day = map(int, spelled.groups()) if spelled else (0, 0, 0)
-    real = 1 <= month <= 12 and year > 0 and 1 <= day <= monthrange(year, month)[1]
-    return date(year, month, day) if real else fallback
+    spelled = str(value)[:10]
+    if day := _ISO_DAY.fullmatch(spelled):
+        year, month, number = (int(day[part]) for part in (1, 3, 4))
+        real = 1 <= month <= 12 and year > 0 and 1 <= number <= monthrange(year, month)[1]
+        return date(year, month, number) if real else fallback
+    if week := _ISO_WEEK.fullmatch(spelled):
+        year, number = int(week[1]), int(week[3])
+        real = 0 < year < 9999 and 1 <= number <= date(year, 12, 28).isocalendar().week
+        return date.fromisocalendar(year, number, int(week[4] or 1)) if real else fallback
+    return fallback
 
 
 def ordered_range(start: DateLike, end: DateLike) -> tuple[date, date]:

@@ -64,7 +64,9 @@ def counted_values_at_ranks(
     """As values_at_ranks, from the number `_n` of rows of each key and value `_v`."""
     keys = list(keys)
     times = passes(counts.schema["_v"].dataType) if refinements is None else refinements
-    rows = counts.where(F.col("_v").isNotNull()).withColumn("_b", _first_bucket(F.col("_v")))
+    # The null test takes in the count, so it stays above the grouping and other uses of `counts` share its shuffle.
+    known = F.when(F.col("_n") > 0, F.col("_v")).isNotNull()
+    rows = counts.where(known).withColumn("_b", _first_bucket(F.col("_v")))
     targets = _first_brackets(rows, keys, rules)
     group = [*keys, "_b", "_t"]
     low, high = (F.col(f"_t.{end}").cast("double") for end in ("lo", "hi"))

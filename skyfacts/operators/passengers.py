@@ -25,6 +25,23 @@ def passenger_sales(tickets: DataFrame, passengers: DataFrame) -> DataFrame:
     sold = tickets.groupBy("passenger_id", "class").agg(
         F.count("*").alias("tickets"), F.sum("total_amount").alias("amount")
     )
+    return _with_segments(sold, passengers)
+
+
+def monthly_passenger_sums(tickets: DataFrame) -> DataFrame:
+    """passenger_sales by month, as states that add up: one scan of a month's tickets gives that month's."""
+    return tickets.groupBy(F.trunc("departure", "month").alias("at"), "passenger_id", "class").agg(
+        F.count("*").alias("tickets"), F.sum("total_amount").alias("amount")
+    )
+
+
+def sales_of_months(months: DataFrame, passengers: DataFrame) -> DataFrame:
+    """passenger_sales, merged from monthly states; the amount keeps the states' precision."""
+    amount = F.sum("amount").cast(months.schema["amount"].dataType)
+    return _with_segments(months.groupBy("passenger_id", "class").agg(F.sum("tickets").alias("tickets"), amount.alias("amount")), passengers)
+
+
+def _with_segments(sold: DataFrame, passengers: DataFrame) -> DataFrame:
     who = passengers.select(F.col("id").alias("passenger_id"), "country", "vipcard", "birth_date")
     return sold.join(who, "passenger_id", "left")
 

@@ -986,6 +986,32 @@ def _sales(v: AirlineViews) -> DataFrame:
     return passengers.passenger_sales(v.passenger_tickets, v.passengers)
 
 
+@register(
+    "monthly_ticket_states", "S-18 A-01 A-02", "tickets",
+    """select cast(date_trunc('month', departure) as date) as at, route_code, class,
+              cast(sum(airport_tax) as double) as airport_tax_sum, cast(sum(local_tax) as double) as local_tax_sum,
+              cast(sum(total_amount) as double) as total_amount_sum, count(airport_tax) as airport_tax_n,
+              count(local_tax) as local_tax_n, count(total_amount) as total_amount_n, count(*) as tickets
+       from tickets group by all""",
+)
+def _(v):
+    return as_double(facts.monthly_ticket_sums(v.tickets), *[f"{name}_sum" for name in facts.AMOUNTS])
+
+
+@register("tickets_by_origin_merged", "A-01 S-18", "tickets_agg", "select * from tickets_agg")
+def _(v):
+    return facts.origin_means(facts.monthly_ticket_sums(v.tickets), v.routes)
+
+
+@register(
+    "passenger_sales_merged", "D-10 S-18", "sales",
+    """select passenger_id, class, country, vipcard, birth_date, count(*) as tickets, cast(sum(total_amount) as double) as amount
+       from sales group by all""",
+)
+def _(v):
+    return as_double(passengers.sales_of_months(passengers.monthly_passenger_sums(v.passenger_tickets), v.passengers), "amount")
+
+
 @register("passengers_by_country", "D-10 D-14", "sales", _SEGMENT.format("country", "", "sales"))
 def _(v):
     return passengers.by_country(_sales(v))

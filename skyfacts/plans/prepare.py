@@ -1,8 +1,11 @@
-"""The preparation job: raw tables in, prepared datasets out."""
+"""The preparation job: raw tables in, prepared datasets out, in plain folders.
+
+`published` does the same in versions, for jobs that run again and again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,11 +75,11 @@ def datasets(
     }
 
 
-def _write(name: str, df: DataFrame, path: str, refresh: bool = False) -> None:
-    """The one way each dataset is written: dated ones by year."""
+def _write(name: str, df: DataFrame, path: str, refresh: Iterable[int] = ()) -> None:
+    """The one way each dataset is written: dated ones by year, some years of them in a refresh."""
     if name in DATED:
         year, departure = DATED[name]
-        write_by_year(df, path, year, departure, refresh=refresh)
+        write_by_year(df, path, year, departure, refresh=bool(refresh), years=refresh)
     else:
         write_parquet(df, path)
 
@@ -94,12 +97,13 @@ def prepare(raw: Tables, root: str, seats: str | None = None, unique_crew: bool
 def refresh_years(raw: Tables, root: str, first: int, last: int, seats: str | None = None, unique_crew: bool = False) -> list[str]:
     """Rebuild the folders of some years of the dated datasets, from those years' rows; the names written.
 
-    The other datasets are totals over all years and need a full run.
+    A year without rows loses its folder. The other datasets are totals over
+    all years and need a full run; `published.refresh_years` renews them too.
     """
     cut = dict(raw) | {name: raw[name].where(in_years("departure", first, last)) for name in ("flights", "flight_crew", "tickets")}
     built = datasets(cut, seats, unique_crew=unique_crew)
     for name in DATED:
-        _write(name, built[name](), f"{root}/{name}", refresh=True)
+        _write(name, built[name](), f"{root}/{name}", refresh=range(first, last + 1))
     return list(DATED)
 
 

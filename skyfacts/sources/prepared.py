@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -9,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from skyfacts.functions.columns import standardize_names
+from skyfacts.sources.files import Files
 from skyfacts.sources.sinks import write_parquet
 from skyfacts.sources.tables import read_table
 
@@ -30,6 +32,8 @@ RAW_EXTRACTS: dict[str, tuple[Sequence[str] | None, str | None]] = {
     "airports": (("iata_code", "city", "country", "continent"), None),
 }
 
+#: File beside a dataset with the fingerprints of what it was built from.
+INPUTS = "_inputs/told.json"
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -59,16 +63,32 @@ def finished(spark: SparkSession, path: str) -> bool:
 
 
 def materialize(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] = write_parquet
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    write: Callable[[DataFrame, str], None] = write_parquet,
+    inputs: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
-    """Read the dataset; build and write it first when it is not there.
+    """Read the dataset; build and write it first when it is not there, or when it is out of date.
 
-    Data without the mark of a finished write is neither trusted nor replaced.
+    `inputs` are fingerprints (see `files.fingerprints`) and parameters; with
+    them, a dataset that was built from others, or from unknown ones, is built
+    again. Data without the mark of a finished write is neither trusted nor
+    replaced.
     """
+    files = Files(spark, path)
+    told = None if inputs is None or None in inputs.values() else json.dumps(dict(inputs), sort_keys=True)
     if not finished(spark, path):
         if exists(spark, path):
             raise UnfinishedDataset(f"{path} holds data but no _SUCCESS mark; check and remove it")
         write(build(), path)
+    elif inputs is not None and (told is None or not files.exists(INPUTS) or files.text(INPUTS) != told):
+        files.delete(INPUTS)  # an overwrite that fails leaves no mark that fits
+        write(build(), path)
+    else:
+        return spark.read.parquet(path)
+    if told:
+        files.create(INPUTS, told)
     return spark.read.parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from conftest import SF_DIR
 from skyfacts.functions.dates import departure_window
-from skyfacts.operators import staff
+from skyfacts.operators import profiling, staff
 from skyfacts.plans import facts
 from skyfacts.plans.catalogue import QUERIES
 
@@ -129,3 +129,19 @@ def test_hot_route_is_split(spark, no_automatic_broadcast):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def scans(df, table: str) -> int:
+    """Scans of a table in the plan that ran; a reused shuffle is none."""
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    return sum("FileScan" in line and f"/{table}.parquet" in line for line in final.split("\n"))
+
+
+@pytest.mark.parametrize("name", ["numeric_summary", "numeric_summary_routes", "ticket_value_spread"])
+def test_ranked_reports_read_their_rows_once(views, name):
+    assert scans(QUERIES[name].build(views), "lineitem") == 1
+
+
+def test_sketched_profile_reads_its_rows_once(views):
+    assert scans(profiling.profile(views.tickets, approx=True), "lineitem") == 1

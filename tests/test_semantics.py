@@ -333,3 +333,29 @@ def test_route_reports_keep_unknown_routes(spark):
     assert [(r.route_code, r.origin) for r in network.route_revenue(sold, legs).collect()] == [("R1", "A"), ("R9", None)]
     row = one(network.route_efficiency(sold.where("false"), sold, legs))
     assert (row.flights, row.tickets, row.revenue_per_distance, row.fare_per_minute) == (0, 1, None, 1.0)
+
+
+def test_sketched_profile(spark, views):
+    """Estimates within four standard errors on a whole table, whether from one state or from many."""
+    exact = {r["column"]: r for r in profiling.profile(views.passenger_tickets).collect()}
+    by_class = profiling.profile_of_states(profiling.profile_states(views.passenger_tickets, "class"))
+    for found in (profiling.profile(views.passenger_tickets, approx=True), by_class):
+        for r in found.collect():
+            want = exact[r["column"]]
+            assert (r["dtype"], r["nulls"], r["null_rate"]) == (want["dtype"], want["nulls"], want["null_rate"])
+            assert abs(r["n_unique"] - want["n_unique"]) <= max(1, 4 * 0.0065 * want["n_unique"])
+    odd = spark.createDataFrame([(1, -0.0, None, [1], True), (2, 0.0, None, [1], False), (2, float("nan"), b"x", [2], None)], "a short, b double, c binary, d array<int>, e boolean")
+    assert {r["column"]: (r["nulls"], r["n_unique"]) for r in profiling.profile(odd, approx=True).collect()} == {"a": (0, 2), "b": (0, 2), "c": (2, 2), "d": (0, 2), "e": (1, 3)}
+    assert {(r["nulls"], r["n_unique"], r["null_rate"]) for r in profiling.profile(odd.limit(0), approx=True).collect()} == {(0, 0, 0.0)}
+
+
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("20230501", date(2023, 5, 1)), ("2023-05-01", date(2023, 5, 1)), ("2023-05-01T10:00", date(2023, 5, 1)), ("2023-W18", date(2023, 5, 1)),
+        ("2023W182", date(2023, 5, 2)), ("2023-W18-7", date(2023, 5, 7)), (datetime(2023, 5, 1, 9), date(2023, 5, 1)),
+        ("2023-0501", None), ("202305-01", None), ("20230230", None), ("2023050112", None), ("2023-W54", None), ("2023W00", None), ("", None), (None, None), ("0000-01-01", None),
+    ],
+)
+def test_iso_days(text, day):
+    assert dates.to_date(text, date(1, 1, 1)) == (day or date(1, 1, 1))

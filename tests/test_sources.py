@@ -197,6 +197,15 @@ def test_write_by_year(spark, tmp_path):
     assert {r.departure_year for r in spark.read.parquet(f"{tmp_path}/y").collect()} == {2020, 2021}
 
 
+def test_refresh_drops_years_without_rows(spark, tmp_path):
+    source = spark.createDataFrame([(i, datetime(2020 + i, 1, 1)) for i in range(4)], "id int, departure timestamp_ntz")
+    path = f"{tmp_path}/y"
+    sinks.write_by_year(source, path, "departure_year", "departure")
+    moved = source.where("id = 2")
+    sinks.write_by_year(moved, path, "departure_year", "departure", refresh=True, years=range(2021, 2024))
+    assert sorted((r.id, r.departure_year) for r in spark.read.parquet(path).collect()) == [(0, 2020), (2, 2022)]
+
+
 def test_jdbc_options():
     url = "jdbc:db2://host/db"
     whole = tables.jdbc_options(url, table="S.T", properties={"user": "u"})
