@@ -17,17 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfacts.llm.shared import fold, small_batches
+from skyfacts.llm.shared import draw, fold, small_batches
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 #: Training texts per language, and those of them that are landmarks. The sample is bounded; scoring reads everything.
 SAMPLE, LANDMARKS = 200, 24
-#: Longer texts are not drawn for training, so that the sample fits the driver.
-SAMPLE_BYTES = 40_000
+#: Bytes of a language's sample, and texts up to which length are drawn before longer ones.
+SAMPLE_BYTES, SHORT_BYTES = 4_000_000, 40_000
 RIDGE = 1e-3
 #: Texts per matrix product.
 ROWS = 128
@@ -163,26 +163,27 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 def train(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
+    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, short_bytes: int = SHORT_BYTES,
 ) -> Model:
-    """Fit on a bounded sample of the labelled rows: per language the `sample` rows of smallest id hash.
+    """Fit on a bounded sample of the labelled rows with letters: per language `sample` rows and `sample_bytes` at most.
 
-    Rows with a null language, no letters or more than `sample_bytes` are not
-    drawn. The ids are drawn first, so that texts are read for those only.
+    Rows of up to `short_bytes` are drawn by the hash of id and text; a language
+    that has too few of them gets longer ones, from the shortest up, so that
+    every language with a text is learned. The keys are drawn first, so that
+    texts are read for those only.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    labelled = docs.where(
-        F.col(lang_col).isNotNull() & (F.octet_length(text) <= sample_bytes) & text.rlike(r"\p{L}")
-    ).select(F.xxhash64(F.col(id_col), text).alias("draw"), F.col(lang_col).alias("language"), text.alias("text"))
-    first = F.row_number().over(Window.partitionBy("language").orderBy("draw"))
-    drawn = labelled.select("draw", "language").withColumn("nth", first).where(F.col("nth") <= sample)
-    marks = {(r["draw"], r["language"]) for r in drawn.collect()}  # at most `sample` per language
+    labelled = docs.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
+        F.xxhash64(F.col(id_col), text).alias("key"), F.col(lang_col).alias("language"), text.alias("text"), F.octet_length(text).alias("size")
+    )
+    marks = draw(labelled.select("key", "language", "size"), "language", sample, sample_bytes, short_bytes)
     if not marks:
         return fit([], [])
-    wanted = spark.createDataFrame(sorted(marks), "draw long, language string")
-    rows = labelled.join(F.broadcast(wanted), ["draw", "language"], "left_semi").dropDuplicates(["draw", "language"]).collect()
-    rows.sort(key=lambda r: (r["language"], r["draw"]))
+    wanted = spark.createDataFrame(marks, "key long, language string")  # `sample` per language
+    rows = labelled.join(F.broadcast(wanted), ["key", "language"], "left_semi").dropDuplicates(["key", "language"]).collect()
+    nth = {mark: i for i, mark in enumerate(marks)}
+    rows.sort(key=lambda r: nth[r["key"], r["language"]])
     return fit([r["text"] for r in rows], [r["language"] for r in rows])
 
 

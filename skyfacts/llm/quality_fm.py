@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfacts.llm.shared import fold, small_batches
+from skyfacts.llm.shared import draw, fold, settle, small_batches
 
 WORD_BITS, RANK = 12, 6
 #: Structure features are shares cut at these bounds, each a feature of its own: a step function of the share.
 SHARES = (0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95)
-#: Labelled rows that are learned from at most, and the longest of them; scoring reads everything.
-SAMPLE, SAMPLE_BYTES = 8000, 20_000
+#: Labelled rows that are learned from at most, bytes of a label's, and those drawn before longer ones; scoring reads everything.
+SAMPLE, SAMPLE_BYTES, SHORT_BYTES = 8000, 64_000_000, 20_000
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.1, 1e-5
 #: Share of the squared length of a text's features that goes to words, structure and length.
 WORD_SHARE, SHAPE_SHARE = 0.4, 0.6
@@ -136,26 +136,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: in
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
-    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
+    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, short_bytes: int = SHORT_BYTES,
 ) -> Machine:
-    """Fit on at most `sample` labelled rows, those of smallest hash of id and text, so labels keep their shares.
+    """Fit on a bounded sample of labelled rows: `sample` rows, and of each label `sample_bytes` at most.
 
-    Rows with a null or other label, or more than `sample_bytes`, are not
-    drawn. Ids are drawn before texts are read.
+    Labels keep their shares of the labelled rows. Rows of up to `short_bytes`
+    are drawn by the hash of id and text; a label that has too few of them gets
+    longer ones, from the shortest up, so that none is left out for its length.
+    Rows with a null or other label are not drawn. Keys are drawn before texts
+    are read, and no text is shuffled.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") <= sample_bytes)
-    keyed = keyed.withColumn("draw", F.xxhash64("id", "text"))
-    # Only hashes and ids meet the labels; no text is shuffled.
-    marked = keyed.select("draw", "id").join(marks.groupBy("id").agg(F.max("label").alias("label")), "id")
-    drawn = marked.groupBy("draw").agg(F.max("label").alias("label")).orderBy("draw").limit(sample).collect()
-    if not drawn:
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumns({"key": F.xxhash64("id", "text"), "size": F.octet_length("text")})
+    marked = keyed.select("key", "id", "size").join(marks.groupBy("id").agg(F.max("label").alias("label")), "id")
+    rows = settle(marked.groupBy("key", "size").agg(F.max("label").alias("label")), "labelled")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
         return fit([], [])
-    wanted = docs.sparkSession.createDataFrame(drawn, "draw long, label int")  # at most `sample` rows
-    rows = keyed.join(F.broadcast(wanted), "draw").select("draw", "label", "text").dropDuplicates(["draw"]).collect()
-    rows.sort(key=lambda r: r["draw"])
-    return fit([features(r["text"]) for r in rows], [r["label"] for r in rows])
+    shares = {label: max(1, min(n, sample * n // sum(counts.values()))) for label, n in counts.items()}
+    drawn = [mark for label, most in sorted(shares.items()) for mark in draw(rows.where(F.col("label") == label), "label", most, sample_bytes, short_bytes)]
+    wanted = docs.sparkSession.createDataFrame(drawn, "key long, label int")  # `sample` rows
+    found = keyed.join(F.broadcast(wanted), "key").select("key", "label", "text").dropDuplicates(["key"]).collect()
+    found.sort(key=lambda r: r["key"])
+    return fit([features(r["text"]) for r in found], [r["label"] for r in found])
 
 
 def quality(docs: DataFrame, machine: Machine, text: Column) -> Column:

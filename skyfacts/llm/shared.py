@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
+#: Parts in which a sample is drawn.
+PARTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,6 +56,26 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     return spark
 
 
+def draw(rows: DataFrame, share: str, most: int, most_bytes: int, short: int) -> list[tuple]:
+    """A bounded sample of rows (key, share, size): the (key, share) of those drawn, in the order of the draw.
+
+    Each value of `share` gets `most` rows and `most_bytes` bytes at most, but
+    one row always: those of up to `short` bytes in the order of their key, which
+    should be a hash, then longer ones from the shortest up. So no kind of rows
+    is left out for its length, and a long text is read where a kind has too few
+    short ones. At most `most` rows for each kind reach the driver.
+    """
+    long = F.when(F.col("size") > short, F.col("size")).otherwise(0)
+    # In parts of the key first, so that the last task gets `most` rows of each part, whatever the table.
+    part = F.pmod("key", F.lit(PARTS))
+    early = rows.withColumn("early", F.row_number().over(Window.partitionBy(share, part).orderBy(long, "key"))).where(F.col("early") <= most)
+    order = Window.partitionBy(share).orderBy(long, "key")
+    first = early.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("upto", upto).where((F.col("upto") <= most_bytes) | (F.col("nth") == 1))
+    return [(r["key"], r[share]) for r in kept.orderBy(share, "nth").select("key", share).collect()]
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id is in fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(0))

@@ -309,11 +309,9 @@ def one_of_each(
     copies = marked.groupBy("id", "mark").agg(F.count("*").alias("copies"))
     same = F.col("stay.id").eqNullSafe(F.col("copies.id")) & (F.col("stay.mark") == F.col("copies.mark"))
     stay = stay.alias("stay").join(copies.alias("copies"), same).select("stay.id", "stay.mark", "copies")
-    names = {"skyfacts_id": F.col(id_col), "skyfacts_mark": F.xxhash64(F.col(text_col).cast("string"))}
-    same = F.col("skyfacts_id").eqNullSafe(F.col("id_")) & (F.col("skyfacts_mark") == F.col("mark_"))
-    held = docs.withColumns(names)
-    kept = [
-        held.join(stay.where(which).select(F.col("id").alias("id_"), F.col("mark").alias("mark_")), same, "left_semi")
-        for which in ("copies = 1", "copies > 1")
-    ]
-    return kept[0].unionByName(kept[1].dropDuplicates(list(names))).select(*docs.columns)
+    # The row travels as one struct, so no name of its columns can clash with those used here.
+    row = F.struct(*[F.col(f"`{name.replace('`', '``')}`") for name in docs.columns])
+    held = docs.select(F.col(id_col).alias("own"), F.xxhash64(F.col(text_col).cast("string")).alias("own_mark"), row.alias("row"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))
+    kept = [held.join(stay.where(which).select("id", "mark"), same, "left_semi") for which in ("copies = 1", "copies > 1")]
+    return kept[0].unionByName(kept[1].dropDuplicates(["own", "own_mark"])).select("row.*")

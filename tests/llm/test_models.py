@@ -8,7 +8,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import __spark_entry__ as contract
 from skyfacts.llm import langid, quality_fm
+from skyfacts.llm.shared import draw
 
 
 def plain_grams(text):
@@ -47,6 +49,62 @@ def test_languages_of_awkward_documents(awkward, nothing):
     assert {r["lang_pred"] for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
+ENGLISH, SPANISH = "the house of the people and their long story was there ", "la casa de los hombres y su larga historia estaba "
+
+
+def test_long_texts_of_a_language_are_learned(spark, tmp_path):
+    """All texts of one language over 50 KB, all of the other short; through the registered query."""
+    rows = [(i, f"{i} " + ENGLISH * 3, "en") for i in range(40)] + [(100 + i, f"{i} " + SPANISH * 1100, "es") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = contract.queries()["op1_langid"](spark, str(tmp_path)).collect()
+    assert len(found) == 80 and all(r["lang_pred"] == ("en" if r["doc_id"] < 100 else "es") for r in found)
+
+
+def test_long_texts_of_a_label_are_learned(spark, tmp_path):
+    """All texts of label 0 over 50 KB, all of label 1 short; through the registered query."""
+    rows = [(i, f"{i} " + ENGLISH * 3) for i in range(40)] + [(100 + i, f"{i} " + "buy now !!! $$$ " * 3500) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i < 100), None) for i, _ in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = contract.queries()["op9_quality_fm"](spark, str(tmp_path)).collect()
+    assert len(found) == 80 and all(r["predicted"] == int(r["doc_id"] < 100) for r in found)
+
+
+def test_draw_is_bounded(spark):
+    rows = [(k, "a", 10) for k in range(300)] + [(k, "b", 500 + k) for k in range(20)] + [(1, "c", 10_000)]
+    frame = spark.createDataFrame(rows, "key long, kind string, size int")
+    drawn = draw(frame, "kind", 50, 1200, 100)
+    assert drawn == [(k, "a") for k in range(50)] + [(0, "b"), (1, "b")] + [(1, "c")]
+
+
+def plain_ridge(texts, languages, landmarks, ridge):
+    """The same fit written out with sets, a kernel matrix and its pseudo-inverse."""
+    names = sorted(set(languages))
+    chosen = [i for name in names for i in [j for j, own in enumerate(languages) if own == name][:landmarks]]
+    known = set().union(*[plain_grams(texts[i]) for i in chosen])
+
+    def kernel(a, b):
+        x, y = plain_grams(a), plain_grams(b)
+        return len(x & y & known) / np.sqrt(len(x) * len(y))
+
+    inner = np.array([[kernel(texts[a], texts[b]) for b in chosen] for a in chosen])
+    values, vectors = np.linalg.eigh(inner)
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    features = np.array([[kernel(t, texts[b]) for b in chosen] for t in texts]) @ root
+    weights = np.diag([1 / languages.count(own) for own in languages])
+    targets = np.array([[1.0 if own == name else -1.0 for name in names] for own in languages])
+    solved = np.linalg.inv(features.T @ weights @ features + ridge * len(names) * np.eye(root.shape[1])) @ features.T @ weights @ targets
+    return lambda text: np.array([kernel(text, texts[b]) for b in chosen]) @ root @ solved
+
+
+def test_ridge_on_landmarks_against_plain_algebra():
+    texts = ["the cat sat on the mat", "a dog and the bone", "el gato come pan", "la casa del perro", "le chat est noir", "une maison et un chien", "the end of it", "pan y agua"]
+    languages = ["en", "en", "es", "es", "fr", "fr", "en", "es"]
+    model, plain = langid.fit(texts, languages, landmarks=2, ridge=0.05), plain_ridge(texts, languages, 2, 0.05)
+    for text in [*texts, "el perro y the cat", "zzz"]:
+        assert np.allclose(model.outputs([text])[0], plain(text), atol=2e-3)
+
+
 def test_letters():
     assert [langid.has_letter(t) for t in ("", "²½ Ⅷ 12_", "² é", "ª", "日", "1a")] == [False, False, True, True, True, True]
 

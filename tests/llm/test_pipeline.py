@@ -46,3 +46,18 @@ def test_stages_on_awkward_documents(spark, awkward, nothing):
     kept = pipeline.near_duplicates(spark, rows, SF_DIR).collect()
     assert len(kept) == len({plain_fingerprint(r["text"]) for r in rows.collect()}) and kept[0].asDict().keys() == set(awkward.columns)
     assert pipeline.language(spark, rows, SF_DIR).where("text is null or text = ''").count() == 0
+
+
+def test_columns_of_any_name_keep_their_values(spark, awkward):
+    from tests.llm.conftest import SF_DIR
+
+    names = ["id_", "mark_", "a.b", "skyfacts_id", "skyfacts_mark", "row", "own", "id", "mark", "found", "x`y"]
+    rows = [(*r, *[f"{name} {r['doc_id']}" for name in names]) for r in awkward.collect()]
+    extra = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    docs = settle(spark.createDataFrame(rows, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in awkward.schema)}, {extra}"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert {tuple(r) for r in kept} <= set(rows) and (kept or name != "near_duplicates")
+    assert pipeline.pack(spark, docs, SF_DIR).count() >= len(rows)
