@@ -61,6 +61,22 @@ class Encoder(dict):
             self.pieces[text] = ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
+    def by_word(self, text: str | None) -> tuple[list[str], list[bytes], bool] | None:
+        """The words of a text that have ids, their ids, and whether they are the words that lower-casing A-Z alone gives.
+
+        None for a text that is not encoded word by word.
+        """
+        if text and not (PLAIN.fullmatch(text) and "<|" not in text):
+            return None
+        lower = text.lower() if text else ""
+        names = lower.split()
+        parts = list(map(self.__getitem__, names))
+        same = not text or text.isascii() or lower == text.encode().lower().decode()
+        if not all(parts):
+            same = False
+            names, parts = [w for w, p in zip(names, parts) if p], [p for p in parts if p]
+        return names, parts, same
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text without special tokens, 4 bytes each; a null text has none."""
         if not text:
