@@ -1,29 +1,32 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the items, one scan of every text.
 
-Texts are normalised to lower-case words with single spaces between and around
-them. Every window of consecutive item words is a pattern of the automaton, so
-a scan reports all of them, overlapping ones too. Normalisation keeps the
-number and order of the words; that maps a hit to its words, and from there to
-character offsets of the original text.
+Texts are normalised to lower-case words. Every window of consecutive item words
+is a pattern of the automaton, whose letters are numbers of words, so a scan
+reports all of them, overlapping ones too, at the places of their last words.
+From there a hit is mapped to character offsets of the original text.
+
+An automaton holds at most MOST_WINDOWS windows. A benchmark with more is dealt
+by hash of the window, and the texts are scanned once per part, one part after
+the other: a part's hits are written before the next part is read, so neither
+the driver nor a worker ever holds two.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from skyfacts.llm.shared import small_batches
+from skyfacts.llm.shared import settle, small_batches
 
 WINDOW = 10
-#: UTF-8 bytes of items in one automaton. A larger benchmark is cut by item into several, used one after the other.
-AUTOMATON_BYTES = 32_000_000
+#: Distinct windows of one automaton. Each adds at most one node a word, so this bounds its memory, whatever the items.
+MOST_WINDOWS = 250_000
 #: Bytes that are not 0-9, a-z, A-Z or above 7F separate words; A-Z are lower-cased.
 NORMAL = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -37,26 +40,52 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def windows(items: Iterable[tuple[str, str | None]], width: int = WINDOW) -> dict[bytes, list[str]]:
-    """Each distinct window of the items' words with the ids of the items that hold it."""
-    held: dict[bytes, set[str]] = defaultdict(set)
-    for name, text in items:
-        words = normal_words(text or "")
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            held[b" ".join(words[i : i + width])].add(name)
-    return {pattern: sorted(names) for pattern, names in held.items()}
+def windows(text: str | None, width: int = WINDOW) -> set[bytes]:
+    """The distinct windows of an item's words, single spaces between; fewer words than the width are one window."""
+    words = normal_words(text or "")
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1) if words else 0)}
+
+
+class Patterns:
+    """Windows and the items that hold them, with each name once."""
+
+    def __init__(self, rows: Iterable[tuple[bytes, list[str]]]) -> None:
+        places: dict[str, int] = {}
+        self.windows: list[bytes] = []
+        self.items: list[tuple[int, ...]] = []
+        for window, names in rows:
+            self.windows.append(bytes(window))
+            self.items.append(tuple(places.setdefault(n, len(places)) for n in names))
+        self.names = list(places)
 
 
-def automaton(patterns: dict[bytes, list[str]]):
-    """The automaton over the patterns, each with a space before and after it; bytes are written as characters 0 to 255."""
-    import ahocorasick
+class Scanner:
+    """The automaton over the patterns, and the numbers of their words; 0 is any other word."""
 
-    made = ahocorasick.Automaton()
-    for pattern, names in patterns.items():
-        made.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, names))
-    if patterns:
-        made.make_automaton()
-    return made
+    def __init__(self, patterns: Patterns) -> None:
+        import ahocorasick
+
+        self.patterns = patterns
+        self.numbers: dict[bytes, int] = {}
+        self.made = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.lengths: list[int] = []
+        for at, window in enumerate(patterns.windows):
+            letters = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window.split(b" "))
+            self.lengths.append(len(letters))
+            self.made.add_word(letters, at)
+        if self.lengths:
+            self.made.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Number of words, ranges of words inside a window, and the items found, of one whole text."""
+        words = normal_words(text or "")
+        if not words or not self.lengths:
+            return len(words), [], []
+        number = self.numbers.get
+        hits = list(self.made.iter(tuple([number(w, 0) for w in words])))
+        ranges = merged({(last - self.lengths[at] + 1, last) for last, at in hits})
+        found = {i for at in {at for _, at in hits} for i in self.patterns.items[at]}
+        return len(words), ranges, sorted(self.patterns.names[i] for i in found)
 
 
 def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -70,33 +99,19 @@ def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(made, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, ranges of words inside a window, and the items found, of one whole text."""
-    words = normal_words(text or "")
-    if not words or not len(made):
-        return len(words), [], []
-    line = b" " + b" ".join(words) + b" "
-    hits = list(made.iter(line.decode("latin-1")))
-    if not hits:
-        return len(words), [], []
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-    lasts = np.searchsorted(spaces, [at for at, _ in hits]) - 1
-    ranges = merged((int(last) - n + 1, int(last)) for last, (_, (n, _)) in zip(lasts, hits, strict=True))
-    return len(words), ranges, sorted({name for _, (_, names) in hits for name in names})
-
+#: The scanner of this worker process and the key of its patterns: one at a time.
+_built: dict[str, Scanner] = {}
 
-#: Automata of this worker process; each is built once from its broadcast patterns.
-_built: dict[str, object] = {}
 
-
-def _scanner(patterns):
+def _hits(patterns):
     key = uuid.uuid4().hex
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
         if key not in _built:
-            _built[key] = automaton(patterns.value)
-        rows = [scan(_built[key], t.as_py()) for t in texts]
+            _built.clear()
+            _built[key] = Scanner(patterns.value)
+        rows = [_built[key].scan(t.as_py()) for t in texts]
         return pa.array(
             [{"n_words": n, "ranges": [{"first": a, "last": b} for a, b in r], "items": i} for n, r, i in rows],
             pa.struct([
@@ -108,6 +123,11 @@ def _scanner(patterns):
     return hits
 
 
+@F.arrow_udf(LongType())
+def _word_count(texts: pa.Array) -> pa.Array:
+    return pa.array([len(normal_words(t.as_py() or "")) for t in texts], pa.int64())
+
+
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character offsets (start, end) in the original text of ranges of words."""
     places = [m.span() for m in WORD.finditer(text)] if ranges else []
@@ -128,28 +148,53 @@ def _summary(texts: pa.Array, n_words: pa.Array, ranges: pa.Array, items: pa.Arr
     ]))
 
 
-def contamination(benchmark: DataFrame, text: Column, *, item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> Column:
-    """A column struct(n_words, n_hit, items, spans) for a text column.
+def _windows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = sorted(windows(text.as_py(), width))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([name] * len(own), pa.string())], names=["window", "id"])
+
+    return run
+
+
+def window_table(benchmark: DataFrame, item_col: str, item_text: str, width: int) -> DataFrame:
+    """(window, ids): each distinct window of the benchmark once, settled."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("string").alias("text"))
+    pairs = items.mapInArrow(_windows(width), "window binary, id string")
+    return settle(pairs.groupBy("window").agg(F.collect_set("id").alias("ids")), "windows")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: Column, *,
+    item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, most_windows: int = MOST_WINDOWS,
+) -> DataFrame:
+    """(row, found): every row as a struct of its columns, and struct(n_words, n_hit, items, spans) of its text.
 
     `items` are the ids, as sorted strings, of items with a window in the text;
     `spans` the character ranges of hit words. A null or wordless text has no
     words and no hits. An item without words has no windows; one with fewer
     words than the width is one window. A null item id counts as the empty id;
-    items of equal id count as one. Only the two item columns are read. Items
-    come to the driver one automaton's worth at a time, by measured size.
+    items of equal id count as one. Only the two item columns are read, and the
+    columns of `docs` may have any names. Windows come to the driver one
+    automaton's worth at a time, `most_windows` on average of a hash.
     """
-    small_batches(benchmark.sparkSession)
-    items = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
-    )
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // AUTOMATON_BYTES + 1
-    context = benchmark.sparkSession.sparkContext
-    found = []
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        patterns = context.broadcast(windows([(r["id"], r["text"]) for r in part.collect()], width))
-        found.append(_scanner(patterns)(text))
-    joined = lambda field: F.concat(*(hits[field] for hits in found))
-    return F.arrow_udf(_summary, FOUND)(text, found[0]["n_words"], joined("ranges"), joined("items"))
-
+    context = small_batches(docs.sparkSession).sparkContext
+    held = window_table(benchmark, item_col, item_text, width)
+    parts = max(1, -(-held.count() // most_windows))
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), text.alias("text"))
+    if parts == 1:
+        found = _hits(context.broadcast(Patterns(map(tuple, held.collect()))))(F.col("text"))
+        return rows.select("row", F.arrow_udf(_summary, FOUND)("text", found["n_words"], found["ranges"], found["items"]).alias("found"))
+    hits = None
+    for part in range(parts):
+        own = held.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
+        patterns = context.broadcast(Patterns(map(tuple, own.collect())))
+        found = rows.select(F.sha2("text", 256).alias("key"), _hits(patterns)(F.col("text")).alias("hit")).where(F.size("hit.items") > 0)
+        # Equal texts have equal hits: one row of each is kept.
+        once = settle(found.groupBy("key").agg(F.first("hit.ranges").alias("ranges"), F.first("hit.items").alias("items")), "hits")
+        patterns.unpersist()
+        hits = once if hits is None else hits.unionByName(once)
+    every = hits.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+    joined = rows.withColumn("key", F.sha2("text", 256)).join(every, "key", "left")
+    return joined.select("row", F.arrow_udf(_summary, FOUND)("text", _word_count("text"), "ranges", "items").alias("found"))

@@ -51,10 +51,10 @@ def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "benchmark"), F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.contaminated(documents, table(spark, sf_dir, "benchmark"), F.col("text"))
     return rows.select(
-        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        "row.doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
     )

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skyfacts.llm import decontaminate
@@ -45,12 +48,33 @@ def test_awkward_documents_and_several_automata(spark, awkward, monkeypatch):
     items = [(1, "Un deux, TROIS quatre-cinq six sept huit neuf dix onze"), (2, "one"), (3, None), (4, "!!"), (5, "dix onze douze fin"), (None, "two"), (2, "nobody")]
     bench = spark.createDataFrame(items, "item_id int, text string").withColumn("items", F.lit("clash"))
     named = [("" if i is None else str(i), t) for i, t in items]
-    want = [brute(r["text"], named) for r in awkward.collect()]
-    for limit in (32_000_000, 30):
-        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
-        rows = awkward.select("text", decontaminate.contamination(bench, F.col("text")).alias("found")).collect()
-        assert [(r.found.n_words, r.found.n_hit, r.found.items) for r in rows] == want
+    texts = [r["text"] for r in awkward.collect()]
+    want = sorted((t is not None, t or "", brute(t, named)) for t in texts)
+    clashing = awkward.withColumns({"found": F.lit(1), "row": F.lit(2), "items": F.lit(3), "a.b": F.lit(4), "ranges": F.lit(5)})
+    for limit in (250_000, 2):
+        rows = decontaminate.contaminated(clashing, bench, F.col("text"), most_windows=limit)
+        assert rows.select("row.*").columns == clashing.columns
+        rows = rows.select("row.text", "row.`a.b`", "found").collect()
+        assert sorted((r.text is not None, r.text or "", (r.found.n_words, r.found.n_hit, r.found["items"])) for r in rows) == want
         for r in rows:  # spans point at the hit words of the original
-            assert sum(len(words(r.text[s.start : s.end])) for s in r.found.spans) == r.found.n_hit
-    none = awkward.select(decontaminate.contamination(bench.limit(0), F.col("text")).alias("found")).collect()
-    assert all(r.found.n_hit == 0 and r.found.items == [] for r in none)
+            assert r["a.b"] == 4 and sum(len(words(r.text[s.start : s.end])) for s in r.found.spans) == r.found.n_hit
+    none = decontaminate.contaminated(awkward, bench.limit(0), F.col("text")).collect()
+    assert len(none) == len(texts) and all(r.found.n_hit == 0 and r.found["items"] == [] for r in none)
+
+
+def test_one_scanner_at_a_time_within_its_memory():
+    """10 MB of items in parts of the default size; an automaton has at most a node a word of its windows."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i:x}" for i in range(50_000)]
+    every = set()
+    while len(every) < decontaminate.MOST_WINDOWS:
+        every |= decontaminate.windows(" ".join(rng.choices(vocabulary, k=20_000)))
+    chosen = sorted(every)[: decontaminate.MOST_WINDOWS]
+    made = decontaminate.Scanner(decontaminate.Patterns((w, ["1"]) for w in chosen))
+    stats = made.made.get_stats()
+    assert stats["nodes_count"] <= 10 * len(chosen) + 1 and stats["total_size"] < 200_000_000
+    part = pa.array([chosen[0].decode() + " x"])
+    for names in (["a"], ["b"]):
+        patterns = SimpleNamespace(value=decontaminate.Patterns([(chosen[0], names)]))
+        assert decontaminate._hits(patterns).func(part).to_pylist()[0]["items"] == names
+        assert len(decontaminate._built) == 1
