@@ -1,7 +1,7 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the items, one scan of every text.
 
 Texts are normalised to lower-case words. Every window of consecutive item words
-is a pattern of the automaton, whose letters are numbers of words, so a scan
+is a pattern of the automaton, whose letters are digits of word numbers, so a scan
 reports all of them, overlapping ones too, at the places of their last words.
 From there a hit is mapped to character offsets of the original text.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ from pyspark.sql.types import LongType
 from skyfacts.llm.shared import settle, small_batches
 
 WINDOW = 10
-#: Distinct windows of one automaton. Each adds at most one node a word, so this bounds its memory, whatever the items.
-MOST_WINDOWS = 250_000
+#: Distinct windows of one automaton. Each adds at most two nodes a word, so this bounds its memory, whatever the items.
+MOST_WINDOWS = 100_000
 #: Bytes that are not 0-9, a-z, A-Z or above 7F separate words; A-Z are lower-cased.
 NORMAL = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -60,19 +61,27 @@ class Patterns:
 
 
 class Scanner:
-    """The automaton over the patterns, and the numbers of their words; 0 is any other word."""
+    """The automaton over the patterns. A word is its number in two digits, each a character of its own alphabet.
+
+    A node's edges are searched one by one, so the digits' base is the square
+    root of the number of words. Any other word is OTHER, on no edge.
+    """
+
+    OTHER = "\0\0"
 
     def __init__(self, patterns: Patterns) -> None:
         import ahocorasick
 
         self.patterns = patterns
-        self.numbers: dict[bytes, int] = {}
-        self.made = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        words = {w: None for window in patterns.windows for w in window.split(b" ")}
+        base = isqrt(len(words)) + 1
+        self.letters = {w: chr(1 + at // base) + chr(1 + base + at % base) for at, w in enumerate(words)}
+        self.made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.lengths: list[int] = []
         for at, window in enumerate(patterns.windows):
-            letters = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window.split(b" "))
+            letters = [self.letters[w] for w in window.split(b" ")]
             self.lengths.append(len(letters))
-            self.made.add_word(letters, at)
+            self.made.add_word("".join(letters), at)
         if self.lengths:
             self.made.make_automaton()
 
@@ -81,8 +90,8 @@ class Scanner:
         words = normal_words(text or "")
         if not words or not self.lengths:
             return len(words), [], []
-        number = self.numbers.get
-        hits = list(self.made.iter(tuple([number(w, 0) for w in words])))
+        letters, other = self.letters.get, self.OTHER
+        hits = [(end // 2, at) for end, at in self.made.iter("".join([letters(w, other) for w in words]))]
         ranges = merged({(last - self.lengths[at] + 1, last) for last, at in hits})
         found = {i for at in {at for _, at in hits} for i in self.patterns.items[at]}
         return len(words), ranges, sorted(self.patterns.names[i] for i in found)
