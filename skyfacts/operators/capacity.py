@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyfacts.functions import bitmaps
 from skyfacts.functions.aggregates import divide, n_unique
 from skyfacts.functions.columns import percent_text
 from skyfacts.functions.dates import day_name, iso_weekday
@@ -68,6 +69,52 @@ def by_weekday(df: DataFrame) -> DataFrame:
     return _over(df, "day_of_week").withColumn("day_name", day_name(F.col("day_of_week")))
 
 
+def daily_states(df: DataFrame, flight_numbers: DataFrame) -> DataFrame:
+    """Sum and number of shares, and the set of flight numbers, per day of departure: states that add up.
+
+    `flight_numbers` is a bitmaps.dictionary of flight_id. A day has a row per
+    place of its bitmaps. States of different days, files or runs are put
+    together by a plain union, also where both have rows of a day.
+    """
+    per_flight = df.groupBy(F.to_date("departure").alias("day"), "flight_id").agg(
+        F.sum("capacity_pct").alias("total"), F.count("capacity_pct").alias("n")
+    )
+    placed = bitmaps.numbered(per_flight, "flight_id", flight_numbers)
+    return placed.groupBy("day", *bitmaps.PLACE).agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), bitmaps.set_of().alias("flight_set")
+    )
+
+
+def by_periods(states: DataFrame) -> DataFrame:
+    """Mean share and distinct flight numbers per week, month, weekday and in all, from one reading of daily states.
+
+    `kind` names the report and `period` its value as text, as in by_week,
+    by_month and by_weekday; the whole has a null period, and is a row even
+    without states.
+    """
+    day = F.col("day")
+    labels = {
+        "week": F.weekofyear(day).cast("string"),
+        "month": F.date_format(day, "yyyy-MM"),
+        "weekday": iso_weekday(day).cast("string"),
+        "all": F.lit(None).cast("string"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), label.alias("period")) for kind, label in labels.items()]))
+    united = states.select("*", each.alias("at")).groupBy("at.kind", "at.period", *bitmaps.PLACE).agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), bitmaps.size_of_union("flight_set").alias("flights")
+    )
+    whole = states.sparkSession.range(1).select(
+        F.lit("all").alias("kind"), F.lit(None).cast("string").alias("period"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("page"),
+        F.lit(None).cast("double").alias("total"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("flights"),
+    )
+    return (
+        united.unionByName(whole)
+        .groupBy("kind", "period")
+        .agg(divide(F.sum("total"), F.sum("n")).alias("avg_capacity"), F.sum("flights").alias("flights"))
+        .orderBy("kind", "period")
+    )
+
+
 def by_flight(df: DataFrame) -> DataFrame:
     """Occupancy per flight number; route_id is the smallest of its routes.
 

@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyfacts.functions import bitmaps
 from skyfacts.functions import columns as cols
 from skyfacts.functions.dates import DateLike, add_date_parts
 from skyfacts.operators import capacity, network, passengers, profiling, quality, revenue, staff, tax
@@ -585,6 +586,22 @@ def _(v):
     return rounded(capacity.by_weekday(_occupancy(v)), 9, "avg_capacity")
 
 
+_PERIODS = {"week": "cast(week as varchar)", "month": "year_month", "weekday": "cast(day_of_week as varchar)", "all": "null::varchar"}
+
+
+@register(
+    "capacity_by_periods", "A-12 A-21 A-22 A-23 A-26", "occupancy",
+    " union all ".join(
+        f"""select '{kind}' as kind, {period} as period, round(avg(capacity_pct), 9) as avg_capacity,
+                   count(distinct flight_id) as flights from occupancy group by all"""
+        for kind, period in _PERIODS.items()
+    ),
+)
+def _(v):
+    states = capacity.daily_states(_occupancy(v), bitmaps.dictionary(v.flights, "flight_id"))
+    return rounded(capacity.by_periods(states), 9, "avg_capacity")
+
+
 _BY_FLIGHT = """select flight_id, avg(capacity_pct) as avg_capacity, max(capacity_pct) as max_capacity,
                        min(capacity_pct) as min_capacity, min(route_id) as route_id, count(departure) as observations
                 from occupancy group by flight_id"""
