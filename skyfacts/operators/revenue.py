@@ -64,6 +64,19 @@ def at_place(
     return df
 
 
+#: Levels of a place, from the widest.
+LEVELS = ("continent", "country", "city")
+
+
+def place_months(df: DataFrame) -> DataFrame:
+    """Each origin continent, country and city with the months that have its revenue: a small closed dictionary.
+
+    at_place, in_months, month_bounds and columns.option_values work on it as on
+    the dataset, so options and date bounds of any choice need no look at that.
+    """
+    return df.select(*LEVELS, "year_month").distinct()
+
+
 def _total(group: DataFrame, *keys: str) -> DataFrame:
     return group.groupBy(*keys).agg(sum0("revenue").cast("double").alias("total_revenue"))
 

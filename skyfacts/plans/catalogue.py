@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyfacts.functions import bitmaps
 from skyfacts.functions import columns as cols
 from skyfacts.functions.dates import DateLike, add_date_parts
-from skyfacts.operators import capacity, network, passengers, profiling, quality, revenue, staff, tax
+from skyfacts.operators import capacity, network, passengers, profiling, quality, revenue, screening, staff, tax
 from skyfacts.plans import facts
 from skyfacts.plans.airline_views import AirlineViews
 from skyfacts.plans.oracle_views import with_views
@@ -318,6 +318,11 @@ def _(v):
     return cols.option_values(revenue.at_place(_revenue(v), **PLACE), "city")
 
 
+@register("revenue_place_months", "F-03 A-27 A-28", "revenue", "select distinct continent, country, city, year_month from revenue")
+def _(v):
+    return revenue.place_months(_revenue(v))
+
+
 # --- crew and staff -------------------------------------------------------------
 
 
@@ -1246,3 +1251,30 @@ _LENGTHS = {
 )
 def _(v):
     return quality.declared_length_report(_key_tables(v))
+
+
+_ROUTE_RULES = {
+    **{f"null {c}": f"{c} is null" for c in ("route_code", "origin", "destination", "parent_route", "leg_number")},
+    **{f"long {c}": f"strlen({c}) > {n}" for c, n in {"route_code": 4, "origin": 3, "destination": 3, "parent_route": 6}.items()},
+}
+
+
+@register(
+    "dq_broken_rules", "DQ-05 DQ-07", "routes",
+    "select concat_ws(', ', " + ", ".join(f"case when {test} then '{rule}' end" for rule, test in _ROUTE_RULES.items())
+    + ") as broken, count(*) as n_rows from routes group by all",
+)
+def _(v):
+    return screening.broken_rules(v.routes, "routes")
+
+
+@register(
+    "dq_broken_flight_years", "DQ-06", "flights",
+    """select case when year(departure) not between 1996 and 2000 then 'year departure' else '' end as broken,
+              count(*) as n_rows from flights group by all""",
+)
+def _(v):
+    rules = screening.row_rules(v.flights, "flights", 1996, 2000)
+    year = screening.mask({"year departure": rules["year departure"]})
+    counts = v.flights.groupBy(year.alias("bits")).agg(F.count("*").alias("n_rows"))
+    return counts.select(F.array_join(screening.names_of(["year departure"], F.col("bits")), ", ").alias("broken"), "n_rows")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from skyfacts.functions.dates import in_years
+from skyfacts.operators import revenue
 from skyfacts.operators.passengers import monthly_passenger_sums, sales_of_months
 from skyfacts.plans import facts, prepare
 from skyfacts.sources.files import fingerprints
@@ -36,6 +37,7 @@ INPUTS = {
     "tickets_agg": ("tickets", "routes"),
     "airports": ("airports",),
     "revenue": ("tickets", "routes", "airports"),
+    "revenue_places": ("tickets", "routes", "airports"),
     "q1_staff_counts": ("staff",),
     "q2_staff_assignments": ("flight_crew", "routes", "staff", "unique_crew"),
     "q3_staff_usage": ("flights", "airplanes", "flight_crew", "routes"),
@@ -68,6 +70,7 @@ class Run:
         """Every dataset but the states, from the states and the raw tables."""
         made = prepare.datasets(self.raw, self.seats, states["monthly_tickets"], self.unique_crew)
         made["passenger_sales"] = lambda: sales_of_months(states["monthly_passengers"], self.raw["passengers"])
+        made["revenue_places"] = lambda: revenue.place_months(revenue.normalize_revenue(made["revenue"]()))
         return {name: build() for name, build in made.items()}
 
 
