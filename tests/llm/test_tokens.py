@@ -124,10 +124,45 @@ def test_packing_equals_best_fit_decreasing(spark, seed):
     assert check_packed(rows, 100) == best_fit(lengths, 100)
 
 
-def test_plan_is_bounded_by_the_capacity():
+def test_plan_is_bounded_by_the_capacity(spark):
     rng = random.Random(1)
     runs = [(n, rng.randint(1, 10**9)) for n in range(1, 4097)]
-    assert len(packing.plan_packing(runs, 4096)) < 150_000
+    plan = packing.plan_packing(spark.createDataFrame(runs, "length long, n long"), 4096)
+    assert len(plan) < 150_000
+    # Entries of a length cover its ranks without a hole.
+    assert set(plan["length"].tolist()) == set(range(1, 4097))
+    assert all(plan["first"][i] == 0 for i in np.flatnonzero(np.diff(plan["length"], prepend=0)))
+
+
+def round_by_round(runs, capacity):
+    """Entries of the plan from the two sweeps in plain Python, and the number of rounds."""
+    state, entries, rounds = [packing._documents(n, 0, many) for n, many in runs] + [packing._gap(capacity, 0, packing.SUPPLY)], [], 0
+    while any(r[0] == packing.DOCUMENT for r in state):
+        ranges = defaultdict(list)
+        for r in state:
+            ranges[r[1].bit_length()].append(r)
+        out = packing.hand_over([r for group in ranges.values() for r in packing.sweep_range(group, capacity)], capacity)
+        entries += [r for r in out if r[0] == packing.ENTRY]
+        state, rounds = [r for r in out if r[0] != packing.ENTRY], rounds + 1
+    return entries, rounds
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_rounds_equal_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([1, 2, 7, 64, 100, 127, 128, 1000, 4096])
+    top = rng.choice([capacity, max(1, capacity // 3), max(1, capacity // 10)])
+    runs = [(n, rng.choice([1, 2, 3, rng.randint(1, 30)])) for n in rng.sample(range(1, top + 1), rng.randint(1, min(top, 90)))]
+    entries, rounds = round_by_round(runs, capacity)
+    held, ranks = defaultdict(list), defaultdict(list)
+    for _, length, rank, n, gap, sequence, per in entries:
+        ranks[length] += range(rank, rank + n)
+        for i in range(n):
+            held[sequence + i // per].append((capacity - gap + i % per * length, length))
+    assert {n: sorted(found) for n, found in ranks.items()} == {n: list(range(many)) for n, many in runs}
+    rows = [{"sequence_id": s, "offset": o, "length": n} for s, parts in held.items() for o, n in parts]
+    assert check_packed(rows, capacity) == best_fit([n for n, many in runs for _ in range(many)], capacity)
+    assert rounds <= len(runs)
 
 
 def test_packing_of_awkward_documents(awkward, nothing):
