@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from conftest import SF_DIR
+from skyfacts import session
+from skyfacts.functions import bitmaps
 from skyfacts.functions.dates import departure_window
-from skyfacts.operators import profiling, staff
+from skyfacts.operators import capacity, profiling, quality, staff
 from skyfacts.plans import facts
+from skyfacts.plans.airline_views import AirlineViews
 from skyfacts.plans.catalogue import QUERIES
 
 
@@ -145,3 +148,23 @@ def test_ranked_reports_read_their_rows_once(views, name):
 
 def test_sketched_profile_reads_its_rows_once(views):
     assert scans(profiling.profile(views.tickets, approx=True), "lineitem") == 1
+
+
+def test_crew_is_dealt_by_flight_once(views, no_automatic_broadcast):
+    """Bookings are shuffled by flight; the crew made of them is not shuffled again for what counts or joins by flight."""
+    plan = plan_of(facts.crew_used(views.flight_crew))
+    assert plan.count("hashpartitioning(flight_id") == 1 and "hashpartitioning(empno" not in plan
+    assert "hashpartitioning(empno" not in plan_of(quality.duplicate_keys(views.flight_crew, ["empno", *facts.KEY]))
+    plan = plan_of(facts.crew_master(views.flight_crew, views.flights, views.routes, views.airplanes, views.staff))
+    at = [plan.index(f"hashpartitioning({key}") for key in ("_flown", "airplane", "empno")]
+    assert at == sorted(at)  # from the top: routes are met last, employees first
+
+
+def test_crew_of_flights_without_an_id(spark, tmp_path):
+    """Equal crew rows of different unnamed flights stay apart, equal ones of one flight are one row."""
+    spark.sql("select 1L as l_orderkey, id as l_partkey, cast(null as bigint) as l_suppkey, 1 as l_linenumber, 1.0D as l_quantity, "
+              "timestamp_ntz'2020-01-01 00:00:00' as l_shipdate from values (1L), (2L), (12L) as t(id)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L as o_orderkey, 5L as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    crew = AirlineViews(spark, str(tmp_path)).flight_crew
+    assert [tuple(r)[:3] for r in crew.collect()] == [(5, None, None)] * 2
