@@ -168,3 +168,17 @@ def test_crew_of_flights_without_an_id(spark, tmp_path):
     spark.range(50).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     crew = AirlineViews(spark, str(tmp_path)).flight_crew
     assert [tuple(r)[:3] for r in crew.collect()] == [(5, None, None)] * 2
+
+
+def test_shuffles_of_reports_grow_with_the_input(spark):
+    before = {key: spark.conf.get(key, None) for key in (session.INITIAL_PARTITIONS, *session.REPORT_SETTINGS)}
+    try:
+        for size, parts in ((0, spark.conf.get("spark.sql.shuffle.partitions")), (4 << 30, "2048")):
+            session.tune_reports(spark, size)
+            assert spark.conf.get(session.INITIAL_PARTITIONS) == parts
+        contract.queries()["crew_used"](spark, SF_DIR)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
