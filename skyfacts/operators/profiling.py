@@ -20,29 +20,36 @@ SKETCH_BITS = 14
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Type, nulls, distinct values and null rate per column, highest rate first.
 
-    Each column is counted on its own: over Parquet a pass reads just that
-    column, and equal values merge before the shuffle. Several distinct counts
-    in one aggregate would copy every row once per column instead. With
-    `approx`, distinct values are estimated by sketches, all in one scan.
+    Rows and nulls come from one pass. Each column's distinct values are counted
+    on their own: over Parquet a pass reads just that column, equal values merge
+    before the shuffle, and a left join that adds only other columns drops out.
+    Several distinct counts in one aggregate would copy every row once per column
+    instead. With `approx`, distinct values are estimated by sketches, all in one scan.
     """
     if approx:
         return profile_of_states(profile_states(df))
 
-    def one(name: str, kind: str) -> DataFrame:
-        value = F.col(f"`{name}`")
-        counts = df.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
-        return counts.agg(
-            F.lit(name).alias("column"),
-            F.lit(kind).alias("dtype"),
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("*").alias("n_unique"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        )
+    none = F.lit(0).cast("bigint")
+
+    def label(name: str, kind: str) -> list[Column]:
+        return [F.lit(name).alias("column"), F.lit(kind).alias("dtype")]
 
-    parts = [one(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    def unique(name: str, kind: str) -> DataFrame:
+        values = df.select(F.col(f"`{name}`")).distinct()
+        return values.agg(*label(name, kind), none.alias("nulls"), F.count("*").alias("n_unique"), none.alias("rows"))
+
+    fields = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    found = [
+        F.struct(*label(*each), F.count_if(F.col(f"`{each[0]}`").isNull()).alias("nulls"), none.alias("n_unique"), F.count("*").alias("rows"))
+        for each in fields
+    ]
+    basic = df.agg(F.array(*found).alias("found")).select(F.inline("found"))
+    sums = [F.coalesce(F.sum(n), none).alias(n) for n in ("nulls", "n_unique", "rows")]
     rate = F.col("nulls") / F.greatest(F.col("rows"), F.lit(1))
     return (
-        reduce(DataFrame.unionAll, parts)
+        reduce(DataFrame.unionAll, [basic, *(unique(*each) for each in fields)])
+        .groupBy("column", "dtype")
+        .agg(*sums)
         .select("column", "dtype", "nulls", "n_unique", rate.alias("null_rate"))
         .orderBy(F.desc("null_rate"), "column")
     )
