@@ -103,7 +103,8 @@ def describe(df: DataFrame) -> DataFrame:
     """Count and nulls of each column; figures of numeric ones, first and last value as text of the others.
 
     The basic figures are one aggregate, whose single row is unpivoted. The
-    quartiles of a column come from the counts of its values, read on its own.
+    quartiles come from the counts of each column's values, all from one further
+    pass: frames that are joins would be joined again for each column.
     """
     numeric = numeric_columns(df)
     figures = [*(f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType))]
@@ -120,13 +121,11 @@ def describe(df: DataFrame) -> DataFrame:
         )
 
     basic = df.agg(F.array(*map(one, figures)).alias("found")).select(F.inline("found"))
-    counts = [
-        df.groupBy(F.col(f"`{n}`").cast("double").alias("_v")).agg(F.count("*").alias("_n")).select(F.lit(n).alias("column"), "_v", "_n")
-        for n in numeric
-    ]
+    values = [F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("double").alias("_v")) for n in numeric]
     quarters = {"p25": nearest(0.25), "p50": nearest(0.5), "p75": nearest(0.75)}
-    if counts:
-        ranked = basic.join(counted_values_at_ranks(reduce(DataFrame.unionAll, counts), ["column"], quarters), "column", "left")
+    if values:
+        counts = df.select(F.explode(F.array(*values)).alias("at")).groupBy("at.column", "at._v").agg(F.count("*").alias("_n"))
+        ranked = basic.join(counted_values_at_ranks(counts, ["column"], quarters), "column", "left")
     else:
         ranked = basic.withColumns({name: F.lit(None).cast("double") for name in quarters})
     return ranked.select("column", "count", "null_count", "mean", "std", "min", *quarters, "max", "first", "last")

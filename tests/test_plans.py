@@ -184,7 +184,7 @@ def test_shuffles_of_reports_grow_with_the_input(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize(("made", "times"), [(profiling.profile, 2)])
+@pytest.mark.parametrize(("made", "times"), [(profiling.profile, 2), (profiling.describe, 5)])
 def test_profiles_look_passengers_up_twice(views, made, times):
     """Once for what is counted in all rows, once for the passengers or for all values, which four passes read from one shuffle."""
     assert plan_of(made(views.passenger_tickets)).count("/orders.parquet") == times
