@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 
 #: Parts of the dictionary; a bitmap takes 4 KB before compression, so a part should have thousands of values.
 PARTS = 4
+#: Bytes of the table that values come from for each further part: a part is sorted in one task.
+BYTES_PER_PART = 64 << 20
 #: The columns that tell the bitmaps of one set apart.
 PLACE = ("part", "page")
 
 
+def parts_for(input_bytes: int) -> int:
+    """Parts of a dictionary of values from a table of so many bytes, so that a part does not grow with it."""
+    return max(PARTS, input_bytes // BYTES_PER_PART)
+
+
 def dictionary(values: DataFrame, column: str, known: DataFrame | None = None, parts: int = PARTS) -> DataFrame:
     """(value, part, nth) for each distinct value, null too.
 

@@ -79,7 +79,8 @@ def daily_states(df: DataFrame, flight_numbers: DataFrame) -> DataFrame:
     per_flight = df.groupBy(F.to_date("departure").alias("day"), "flight_id").agg(
         F.sum("capacity_pct").alias("total"), F.count("capacity_pct").alias("n")
     )
-    placed = bitmaps.numbered(per_flight, "flight_id", flight_numbers)
+    # Dealt before the bitmaps are made: a page holds few flights of a day in any one task, and each bitmap takes 4 KB.
+    placed = bitmaps.numbered(per_flight, "flight_id", flight_numbers).repartition("day", *bitmaps.PLACE)
     return placed.groupBy("day", *bitmaps.PLACE).agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), bitmaps.set_of().alias("flight_set")
     )

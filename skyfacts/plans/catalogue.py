@@ -603,7 +603,8 @@ _PERIODS = {"week": "cast(week as varchar)", "month": "year_month", "weekday": "
     ),
 )
 def _(v):
-    states = capacity.daily_states(_occupancy(v), bitmaps.dictionary(v.flights, "flight_id"))
+    numbers = bitmaps.dictionary(v.flights, "flight_id", parts=bitmaps.parts_for(v.input_bytes))
+    states = capacity.daily_states(_occupancy(v), numbers)
     return rounded(capacity.by_periods(states), 9, "avg_capacity")
 
 
