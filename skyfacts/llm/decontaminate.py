@@ -35,6 +35,10 @@ NORMAL = bytes(
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 HITS = "struct<n_words: long, ranges: array<struct<first: long, last: long>>, items: array<string>>"
 FOUND = "struct<n_words: long, n_hit: long, items: array<string>, spans: array<struct<start: long, end: long>>>"
+FOUND_ROWS = pa.struct([
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
+    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+])
 
 
 def normal_words(text: str) -> list[bytes]:
@@ -112,15 +116,20 @@ def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 _built: dict[str, Scanner] = {}
 
 
+def _scanner(key: str, patterns) -> Scanner:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Scanner(patterns.value)
+    return _built[key]
+
+
 def _hits(patterns):
     key = uuid.uuid4().hex
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Scanner(patterns.value)
-        rows = [_built[key].scan(t.as_py()) for t in texts]
+        scanner = _scanner(key, patterns)
+        rows = [scanner.scan(t.as_py()) for t in texts]
         return pa.array(
             [{"n_words": n, "ranges": [{"first": a, "last": b} for a, b in r], "items": i} for n, r, i in rows],
             pa.struct([
@@ -132,6 +141,22 @@ def _hits(patterns):
     return hits
 
 
+def _found(patterns):
+    """What `_hits` and `_summary` give, for the only automaton: a text goes to one Python worker, once."""
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf(FOUND)
+    def found(texts: pa.Array) -> pa.Array:
+        scanner, out = _scanner(key, patterns), []
+        for t in texts:
+            text = t.as_py()
+            n, ranges, items = scanner.scan(text)
+            out.append(_told(text, n, ranges, items))
+        return pa.array(out, FOUND_ROWS)
+
+    return found
+
+
 @F.arrow_udf(LongType())
 def _word_count(texts: pa.Array) -> pa.Array:
     return pa.array([len(normal_words(t.as_py() or "")) for t in texts], pa.int64())
@@ -143,18 +168,20 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b][1]) for a, b in ranges]
 
 
+def _told(text: str | None, n_words: int, ranges: list[tuple[int, int]], items: list[str]) -> dict:
+    """A row of FOUND from disjoint ranges of words and sorted items."""
+    return {
+        "n_words": n_words, "n_hit": sum(b - a + 1 for a, b in ranges), "items": items,
+        "spans": [{"start": a, "end": b} for a, b in spans(text or "", ranges)],
+    }
+
+
 def _summary(texts: pa.Array, n_words: pa.Array, ranges: pa.Array, items: pa.Array) -> pa.Array:
     out = []
     for text, n, own, names in zip(texts, n_words.to_pylist(), ranges, items, strict=True):
         own = merged((r["first"], r["last"]) for r in own.as_py() or [])
-        out.append({
-            "n_words": n, "n_hit": sum(b - a + 1 for a, b in own), "items": sorted(set(names.as_py() or [])),
-            "spans": [{"start": a, "end": b} for a, b in spans(text.as_py() or "", own)],
-        })
-    return pa.array(out, pa.struct([
-        ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ]))
+        out.append(_told(text.as_py(), n, own, sorted(set(names.as_py() or []))))
+    return pa.array(out, FOUND_ROWS)
 
 
 def _windows(width: int):
@@ -193,8 +220,7 @@ def contaminated(
     parts = max(1, -(-held.count() // most_windows))
     rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), text.alias("text"))
     if parts == 1:
-        found = _hits(context.broadcast(Patterns(map(tuple, held.collect()))))(F.col("text"))
-        return rows.select("row", F.arrow_udf(_summary, FOUND)("text", found["n_words"], found["ranges"], found["items"]).alias("found"))
+        return rows.select("row", _found(context.broadcast(Patterns(map(tuple, held.collect()))))(F.col("text")).alias("found"))
     hits = None
     for part in range(parts):
         own = held.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)

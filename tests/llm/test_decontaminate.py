@@ -78,3 +78,12 @@ def test_one_scanner_at_a_time_within_its_memory():
         patterns = SimpleNamespace(value=decontaminate.Patterns([(chosen[0], names)]))
         assert decontaminate._hits(patterns).func(part).to_pylist()[0]["items"] == names
         assert len(decontaminate._built) == 1
+
+
+def test_a_text_passes_one_worker_in_few_rows(spark, documents):
+    """With one automaton a text is sent to Python once, and few texts are decoded and sent at a time."""
+    bench = spark.createDataFrame([(1, "one two"), (2, "three")], "item_id int, text string")
+    rows = decontaminate.contaminated(documents.select("doc_id", "text"), bench, F.col("text"))
+    for found in (rows.select("row.doc_id", "found.n_words", "found.n_hit"), rows.where("found.n_hit = 0").select("row.*")):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
