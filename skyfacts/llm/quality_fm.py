@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfacts.llm.shared import draw, fold, settle, small_batches
+from skyfacts.llm.shared import PARTS, draw, fold, input_mb, settle, small_batches
 
 WORD_BITS, RANK = 12, 6
 #: Structure features are shares cut at these bounds, each a feature of its own: a step function of the share.
 SHARES = (0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95)
 #: Labelled rows that are learned from at most, bytes of a label's, and those drawn before longer ones; scoring reads everything.
 SAMPLE, SAMPLE_BYTES, SHORT_BYTES = 8000, 64_000_000, 20_000
+#: MB of documents whose labelled keys are written as one file, 24 bytes a document.
+MB_A_FILE = 64
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.1, 1e-5
 #: Share of the squared length of a text's features that goes to words, structure and length.
 WORD_SHARE, SHAPE_SHARE = 0.4, 0.6
@@ -150,7 +152,8 @@ def train(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumns({"key": F.xxhash64("id", "text"), "size": F.octet_length("text")})
     marked = keyed.select("key", "id", "size").join(marks.groupBy("id").agg(F.max("label").alias("label")), "id")
-    rows = settle(marked.groupBy("key", "size").agg(F.max("label").alias("label")), "labelled")
+    rows = marked.groupBy("key", "size").agg(F.max("label").alias("label"))
+    rows = settle(rows.coalesce(max(PARTS, int(input_mb(docs, text_col) / MB_A_FILE))), "labelled")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return fit([], [])

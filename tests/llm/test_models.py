@@ -135,3 +135,27 @@ def test_quality_of_awkward_documents(spark, awkward, nothing):
     assert by[0] == by[1]
     assert quality_fm.score_quality(nothing, labels).collect() == []
     assert {r["score"] for r in quality_fm.score_quality(awkward, labels.limit(0)).collect()} == {0.5}
+
+
+def test_few_files_of_labelled_keys(spark, monkeypatch):
+    """Many shuffle partitions do not make as many files of a few keys each."""
+    files, settle = [], quality_fm.settle
+
+    def counted(df, name):
+        made = settle(df, name)
+        files.append(len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(quality_fm, "settle", counted)
+    docs = spark.createDataFrame([(i, f"{i} words") for i in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int")
+    settings = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        quality_fm.train(docs, labels, id_col="doc_id", text_col="text", label_col="quality", sample=50)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert files == [32]
