@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,15 @@ def test_crew_is_dealt_by_flight_once(views, no_automatic_broadcast):
     assert at == sorted(at)  # from the top: routes are met last, employees first
 
 
+def test_sold_flights_are_shuffled_once(views, no_automatic_broadcast):
+    """Crew meets flights where these were added up, and carries no second route code through the shuffles after that."""
+    plan = plan_of(facts.crew_master(views.flight_crew, views.flights, views.routes, views.airplanes, views.staff))
+    assert "Union" in plan and not re.search(r"Exchange hashpartitioning\(flight_id[^\n]*\n[^\n]*Union", plan)
+    assert "_met" in plan and not re.search(r"Exchange hashpartitioning\((?:empno|airplane)[^\n]*\n[^\n]*_flown", plan)
+    plan = plan_of(facts.staff_usage(views.flights, views.airplanes, views.flight_crew, views.routes))
+    assert not re.search(r"Exchange hashpartitioning\(flight_id[^\n]*\n[^\n]*Union", plan)
+
+
 def test_crew_of_flights_without_an_id(spark, tmp_path):
     """Equal crew rows of different unnamed flights stay apart, equal ones of one flight are one row."""
     spark.sql("select 1L as l_orderkey, id as l_partkey, cast(null as bigint) as l_suppkey, 1 as l_linenumber, 1.0D as l_quantity, "
